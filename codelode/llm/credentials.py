@@ -228,11 +228,35 @@ def literals(line: str, config: bool, name_before: str = "") -> Iterator[tuple[i
 
 
 #: A line without any of these holds nothing that the patterns above could find.
-WORTH = re.compile(
-    r"pass(?!port|ing|ed\b|es\b|enger|age)|pwd|psw|secret|token|tok_|key|auth|bearer|basic|cred|jwt|sig|login|access|cookie|session|salt|hook|\bpat\b|_pat_|dsn|://|identified|пароль|логин|доступ|-----begin|account|connect|--user|\s-u\s| / |[\"'`(]\s*$"
-    r"|eyj|akia|asia|gh[pousr]_|glpat|xox|[srp]k[_-]|aiza|ya29|npm_|pypi-|hf_|dop_|sg\.|[a-z]{2,6}_[a-z0-9]{24}",
-    re.I,
-)
+SIGNS = (
+    "pass pwd psw secret tok key auth bearer basic cred jwt sig= sig_ signature signing login access cookie session salt pat_ identified пароль логин доступ -----begin account connect --user :// eyj akia asia"
+    " ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat xox sk_ rk_ pk_ sk- aiza ya29 npm_ pypi- hf_ dop_v1 sg."
+).split() + [" -u ", " / ", " -p"]
+LONG_TAIL = re.compile(r"_[a-z0-9]{24}")
+
+
+def worth(content: str) -> list[int]:
+    """The lines, counted from 0, that hold any of the signs."""
+    low = content.lower()
+    if len(low) != len(content):  # a letter that grows in lower case: keep the places aligned
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in content)
+    at: list[int] = [m.start() for m in LONG_TAIL.finditer(low)]
+    for sign in SIGNS:
+        i = low.find(sign)
+        while i >= 0:
+            at.append(i)
+            i = low.find("\n", i)
+            i = low.find(sign, i) if i >= 0 else -1
+    out, line, start = [], 0, 0
+    for i in sorted(at):
+        line += low.count("\n", start, i)
+        start = i
+        if not out or out[-1] != line:
+            out.append(line)
+    return out
+
+
+OPENED = re.compile(r"([A-Za-z_][\w.$-]*)[\"']?\s*(?::\s*\w+\s*)?[=:]\s*[(\\]?\s*$")
 CODE = {"python", "typescript", "tsx", "javascript", "jsx"}
 
 
@@ -242,29 +266,31 @@ def found(content: str | None, language: str | None) -> list[tuple[int, list[tup
         return []
     config = language not in CODE
     out: list[tuple[int, list[tuple[int, int]]]] = []
-    in_key = False
-    name_before = ""
-    opened = re.compile(r"([A-Za-z_][\w.$-]*)[\"']?\s*(?::\s*\w+\s*)?[=:]\s*[(\\]?\s*$")
-    for no, line in enumerate(content.split("\n"), 1):
-        if in_key:
-            in_key = not PRIVATE_END.search(line)
-            if in_key and KEY_BODY.match(line):
-                continue
-            if not in_key:
-                continue
-            in_key = False  # the block was cut off
+    lines = content.split("\n")
+    key_until, after, name_before = -1, -1, ""
+    signed = set(queue := worth(content))
+    for no in queue:
+        if no <= key_until:
+            continue
+        line = lines[no]
         if m := PRIVATE_BEGIN.search(line):
-            in_key = not PRIVATE_END.search(line, m.end())
-            out.append((no, [m.span()]))
+            out.append((no + 1, [m.span()]))
+            key_until = no
+            if not PRIVATE_END.search(line, m.end()):
+                while key_until + 1 < len(lines) and (PRIVATE_END.search(lines[key_until + 1]) or KEY_BODY.match(lines[key_until + 1])):
+                    key_until += 1
+                    if PRIVATE_END.search(lines[key_until]):
+                        break
             continue
-        if name_before or WORTH.search(line):
-            spans = sorted(set(literals(line, config, name_before)))
-            if spans:
-                out.append((no, spans))
-        name_before = ""
-        if line[-1:] in "=:(\\ " and (m := opened.search(line[-120:])):
-            name_before = m[1]
-    return out
+        spans = sorted(set(literals(line, config, name_before if no == after else "")))
+        if spans:
+            out.append((no + 1, spans))
+        # a value on the next line
+        if no + 1 < len(lines) and line[-1:] in ("=", ":", "(", "\\", " ") and (m := OPENED.search(line[-120:])):
+            name_before, after = m[1], no + 1
+            if after not in signed and (spans := sorted(set(literals(lines[after], False, name_before)))):
+                out.append((after + 1, spans))
+    return sorted(out)
 
 
 def redact(content: str | None, language: str | None) -> str | None:
