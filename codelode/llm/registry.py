@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codelode.llm import credential_queries, docpair_queries, handwritten_queries, leak_queries, neighbour_queries, subject_queries, token_queries
+from codelode.llm import credential_queries, docpair_queries, handwritten_queries, leak_queries, neighbour_queries, subject_queries, syntax_queries, token_queries
 
-MODULES = [credential_queries, docpair_queries, handwritten_queries, leak_queries, neighbour_queries, subject_queries, token_queries]
+MODULES = [credential_queries, docpair_queries, handwritten_queries, leak_queries, neighbour_queries, subject_queries, syntax_queries, token_queries]
 
 
 def queries() -> dict:
