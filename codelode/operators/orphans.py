@@ -81,30 +81,35 @@ def bitmaps(keys: DataFrame, time: str) -> DataFrame:
 
 def _and_not(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """Of one key range: for each period the bits referred to AND NOT those born in an earlier period."""
-    born = known.sort_values("period") if len(known) else known
-    have, i, out = np.zeros(RANGE_BITS // 8, dtype=np.uint8), 0, []
-    times, maps = (born["period"].tolist(), born["bits"].tolist()) if len(born) else ([], [])
-    for period, bits in refs.sort_values("period")[["period", "bits"]].itertuples(index=False):
-        # a reference without time is later than any parent
-        while i < len(times) and (times[i] < period or period == -1 or times[i] == -1):
-            have |= np.frombuffer(maps[i], dtype=np.uint8)
+    born = sorted(zip(known["period"], known["bits"], strict=True), key=lambda x: x[0]) if len(known) else []
+    every = np.zeros(RANGE_BITS // 8, dtype=np.uint8)
+    for _, bits in born:
+        every |= np.frombuffer(bits, dtype=np.uint8)
+    have, i, bit, when = np.zeros(RANGE_BITS // 8, dtype=np.uint8), 0, [], []
+    for period, bits in sorted(zip(refs["period"], refs["bits"], strict=True), key=lambda x: x[0]):
+        while i < len(born) and born[i][0] < period:  # parents without a time (-1) come first
+            have |= np.frombuffer(born[i][1], dtype=np.uint8)
             i += 1
-        left = np.frombuffer(bits, dtype=np.uint8) & ~have
+        # a reference without time is later than any parent
+        left = np.frombuffer(bits, dtype=np.uint8) & ~(every if period == -1 else have)
         at = np.flatnonzero(np.unpackbits(left, bitorder="little"))
-        if period == -1:
-            i, have = 0, np.zeros(RANGE_BITS // 8, dtype=np.uint8)  # periods start again behind the timeless ones
-        if len(at):
-            bucket = int(refs["bucket"].iat[0])
-            # the inverse of bitmap_bucket_number and bitmap_bit_position
-            key = (bucket - 1) * RANGE_BITS + at + 1 if bucket > 0 else bucket * RANGE_BITS - at
-            out.append(pd.DataFrame({"type_no": np.int32(refs["type_no"].iat[0]), "key": key.astype(np.int64), "period": np.int32(period)}))
-    return pd.concat(out) if out else pd.DataFrame({"type_no": pd.Series(dtype="int32"), "key": pd.Series(dtype="int64"), "period": pd.Series(dtype="int32")})
+        bit.append(at)
+        when.append(np.full(len(at), period, dtype=np.int32))
+    if not bit:
+        return pd.DataFrame({"type_no": pd.Series(dtype="int32"), "key": pd.Series(dtype="int64"), "period": pd.Series(dtype="int32")})
+    at, bucket = np.concatenate(bit), int(refs["bucket"].iat[0])
+    # the inverse of bitmap_bucket_number and bitmap_bit_position
+    key = (bucket - 1) * RANGE_BITS + at + 1 if bucket > 0 else bucket * RANGE_BITS - at
+    return pd.DataFrame({"type_no": np.full(len(at), refs["type_no"].iat[0], dtype=np.int32), "key": key.astype(np.int64), "period": np.concatenate(when)})
 
 
 def suspects(refs: DataFrame, parent: DataFrame) -> DataFrame:
-    """(type_no, key, period) of references that no parent of an earlier period answers."""
-    r, p = bitmaps(refs, "created_at"), bitmaps(parent, "born")
-    return r.groupBy("type_no", "bucket").cogroup(p.groupBy("type_no", "bucket")).applyInPandas(_and_not, "type_no int, key bigint, period int")
+    """(type_no, key, period) of references that no parent of an earlier period answers.
+
+    Bitmaps are small but costly to decode, so their partitions are not merged by size."""
+    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.repartition(n, "type_no", "bucket").groupBy("type_no", "bucket")
+    return spread(bitmaps(refs, "created_at")).cogroup(spread(bitmaps(parent, "born"))).applyInPandas(_and_not, "type_no int, key bigint, period int")
 
 
 def orphans(edges: DataFrame, files: DataFrame, symbols: DataFrame, memories: DataFrame, packages: DataFrame, tombstones: DataFrame) -> DataFrame:

@@ -70,14 +70,14 @@ def test_text_functions(spark):
 
 
 def test_walk_and_notes(spark, tmp_path):
-    for p, body in {"src/a.ts": "let a\n", "src/b.bin.ts": "a\0b", "node_modules/x.ts": "x", "out/c.py": "c", "sub/out/d.py": "d\n", "notes/n.md": "# Title\nsee src/deep/a.ts", "MEMORY.md": "x", "fact.md": "fact"}.items():
+    for p, body in {"src/a.ts": "let a\n", "src/b.bin.ts": "a\0b", "node_modules/x.ts": "x", "out/c.py": "c", "sub/out/d.py": "d\n", "notes/n.md": "# Title\nsee src/deep/main.ts", "MEMORY.md": "x", "fact.md": "fact"}.items():
         f = tmp_path / p
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text(body)
     got = {r.path: r for r in walk.source_files(spark, str(tmp_path), ["/out"]).collect()}
     assert set(got) == {"src/a.ts", "sub/out/d.py"} and got["src/a.ts"].lines_count == 2
     notes = {r.path: r for r in walk.notes(spark, str(tmp_path)).collect()}
-    assert notes["notes/n.md"].title == "Title" and notes["notes/n.md"].refs == ["src/deep/a.ts"] and notes["notes/n.md"].section == "notes"
+    assert notes["notes/n.md"].title == "Title" and notes["notes/n.md"].refs == ["src/deep/main.ts"] and notes["notes/n.md"].section == "notes"
     assert [r.path for r in walk.agent_memories(spark, str(tmp_path)).collect()] == ["fact.md"]
 
 
