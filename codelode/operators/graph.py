@@ -68,7 +68,7 @@ def module_of(path: Column) -> Column:
 
 
 #: Folder names that hold modules (fixed values).
-CONTAINERS = ("src", "app", "apps", "packages", "lib", "libs", "modules")
+CONTAINERS = ("modules", "packages", "lib", "src", "app", "features", "services")
 
 
 def enclosing(lines: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def out_weights(e):
     return g.ranking_edges(e).groupBy(F.col("src").alias("node")).agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
-CONT = "('src', 'app', 'apps', 'packages', 'lib', 'libs', 'modules')"
+CONT = "('modules', 'packages', 'lib', 'src', 'app', 'features', 'services')"
 MODULE = f"""(case when len(seg) = 1 then '(root)' when len(seg) = 2 then seg[1] else array_to_string(seg[1:greatest(1, case when k > 0 then least(len(seg) - 1, k + 1) else 2 end)], '/') end)"""
 MODULES = f""", x as (select id, path, string_split(path, '/') as seg from f), y as (select *, coalesce(list_max(list_filter(range(1, len(seg)), lambda i: lower(seg[i]) in {CONT})), 0) as k from x), mods as (select id, path, {MODULE} as module from y)"""
 
