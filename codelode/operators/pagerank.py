@@ -30,12 +30,13 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     ends = e.select(F.col("src").alias("node")).distinct().withColumn("goes", F.lit(True))
     base = cut(start.join(ends, "node", "left").select("node", "p", F.coalesce("goes", F.lit(False)).alias("goes")))
     rank = base.select("node", "p", "goes", F.col("p").alias("rank"))
+    stays = F.coalesce(F.sum(F.when(~F.col("goes"), F.col("rank"))), F.lit(0.0))
+    dangling = rank.agg(stays).first()[0]
     for _ in range(most):
-        dangling = rank.where(~F.col("goes")).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         flow = rank.join(e, rank.node == e.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
         moved = rank.join(flow, "node", "left").select("node", "p", "goes", F.col("rank").alias("old"), ((1 - damping) * F.col("p") + damping * dangling * F.col("p") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank"))
         moved = cut(moved)
-        delta = moved.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0))).first()[0]
+        delta, dangling = moved.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0)), stays).first()
         rank = moved.drop("old")
         if delta < tolerance:
             break

@@ -163,15 +163,26 @@ r{k} as (select r.node, r.p, r.goes, 0.15 * r.p + 0.85 * d{k}.d * r.p + 0.85 * c
     return sql + f" select node, round(rank, 8) as rank from r{rounds} where round(rank, 8) > 0"
 
 
-@query("sppr_pagerank", "e s f m", ppr_sql(3))
-def pagerank_three(e, s, f, m):
-    """Three rounds of personalized PageRank from the symbols that notes name (S-PPR)."""
+def note_graph(e, s, f, m):
+    """(nodes, edges, seeds): symbols and files, from the symbols that notes name."""
     nodes = s.select(F.concat(F.lit("s"), "id").alias("node")).unionByName(f.select(F.concat(F.lit("f"), "id").alias("node")))
     seeds = s.join(m.select(F.explode("related_symbols").alias("name")).distinct(), "name", "left_semi").select(F.concat(F.lit("s"), "id").alias("node"), F.lit(1.0).alias("weight"))
-    r = pagerank.personalized_pagerank(nodes, g.ranking_edges(e), seeds, most=3, tolerance=0.0)
+    return nodes, g.ranking_edges(e), seeds
+
+
+@query("sppr_pagerank", "e s f m", ppr_sql(3))
+def pagerank_three(e, s, f, m):
+    """Three rounds of personalized PageRank, for comparison with SQL; sppr_ranks has the ranks (S-PPR)."""
+    r = pagerank.personalized_pagerank(*note_graph(e, s, f, m), most=3, tolerance=0.0)
     return r.select("node", F.round("rank", 8).alias("rank")).where("rank > 0")
 
 
+@query("sppr_ranks", "e s f m", "")
+def pagerank_ranks(e, s, f, m):
+    """Personalized PageRank from the symbols that notes name, by the reference's defaults: to 1e-6 or 50 rounds (S-PPR)."""
+    return pagerank.personalized_pagerank(*note_graph(e, s, f, m)).where("rank > 0")
+
+
 PACKED = """, recursive_dummy as (select 1), t as (select array_to_string(string_split(f.path, '/')[1:2], '/') as grp, f.id as item, coalesce(len(string_split(b.content, ' ')), 0) as full_, coalesce(x.sk, 0) as skeleton, coalesce(x.sg, 0) as signature, coalesce(x.n, 0) as n
 from f left join (select file_id, content from file_blobs) b on b.file_id = f.id left join (select file_id, count(*) as n, sum(len(string_split(coalesce(signature, ''), ' ')) + len(string_split(coalesce(docstring, ''), ' '))) as sk, sum(len(string_split(coalesce(signature, ''), ' '))) as sg from s group by 1) x on x.file_id = f.id),
 q as (select *, row_number() over (partition by grp order by n desc, item) as rn from t qualify rn <= 80)"""

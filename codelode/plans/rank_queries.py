@@ -14,13 +14,13 @@ def srank_task(spark: SparkSession, sf: str) -> DataFrame:
     m = v.memories(spark, sf)
     # one title is the query of this search
     task = m.where("size(related_files) > 0 and title rlike '[A-Za-z]{3}'").orderBy("id").select("title").first()
-    return rank.rank_for_task(task.title if task else "", v.files(spark, sf), v.symbols(spark, sf), v.edges(spark, sf), m, rounds=5)
+    return rank.rank_for_task(task.title if task else "", v.files(spark, sf), v.symbols(spark, sf), v.edges(spark, sf), m)
 
 
 def srank_eval(spark: SparkSession, sf: str) -> DataFrame:
     """The best symbols for the question of the first evaluation task."""
     task = read_table(spark, sf, "eval_tasks").orderBy("task_id").select("task").first()
-    return rank.rank_for_task(task.task if task else "", v.files(spark, sf), v.symbols(spark, sf), v.edges(spark, sf), v.memories(spark, sf), rounds=5)
+    return rank.rank_for_task(task.task if task else "", v.files(spark, sf), v.symbols(spark, sf), v.edges(spark, sf), v.memories(spark, sf))
 
 
 QUERIES = {"srank_task": srank_task, "srank_eval": srank_eval}

@@ -9,6 +9,7 @@ from codelode.functions import text as t
 from codelode.operators import maintain, rank, search
 from codelode.operators import views as v
 from codelode.operators.pagerank import personalized_pagerank
+from codelode.plans import maintain_queries, rank_queries
 from codelode.sources import walk
 from codelode.streaming import feeds
 
@@ -26,6 +27,33 @@ def test_pagerank_of_three_nodes(spark, seeds, most, want):
         assert got[n] == pytest.approx(w, abs=2e-5)
 
 
+def chain(spark):
+    """Ten symbols, each calling the next; a note names the first."""
+    s = spark.createDataFrame([(i, f"n{i}") for i in range(10)], "id long, name string")
+    f = spark.createDataFrame([], "id long")
+    e = spark.createDataFrame([("symbol", i, "symbol", i + 1, "calls", 1.0) for i in range(9)], "source_type string, source_id long, target_type string, target_id long, edge_type string, confidence double")
+    m = spark.createDataFrame([(["n0"],)], "related_symbols array<string>")
+    return e, s, f, m
+
+
+def test_pagerank_reaches_the_whole_chain(spark):
+    want = [1.0] + 9 * [0.0]
+    for _ in range(50):
+        want = [0.15 + 0.85 * want[9]] + [0.85 * x for x in want[:9]]
+    got = {r.node: r["rank"] for r in maintain_queries.pagerank_ranks(*chain(spark)).collect()}
+    assert got == {f"s{k}": pytest.approx(x, abs=1e-9) for k, x in enumerate(want)}
+    # the comparison with SQL gets three steps far
+    assert {r.node for r in maintain_queries.pagerank_three(*chain(spark)).collect()} == {"s0", "s1", "s2", "s3"}
+
+
+@pytest.mark.parametrize("name", ["srank_task", "srank_eval"])
+def test_ranking_queries_take_the_default_rounds(spark, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(rank, "personalized_pagerank", lambda nodes, edges, seeds, **k: seen.append(k) or nodes.select("node", F.lit(0.0).alias("rank")))
+    assert rank_queries.QUERIES[name](spark, DATA).count() > 0
+    assert [k.get("most", 50) for k in seen] == [50] and [k.get("tolerance", 1e-6) for k in seen] == [1e-6]
+
+
 def test_bm25_against_sqlite(spark):
     docs = [(1, "the quick brown fox"), (2, "quick quick dog"), (3, "lazy dog sleeps all day long"), (4, ""), (5, "fox and dog and fox"), (6, None)]
     con = sqlite3.connect(":memory:")
