@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -162,54 +162,62 @@ def field_live(kind: str, value: str) -> bool:
 
 QUOTED = re.compile(r"(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)")
 #: What stands before a literal: a name and an assignment, a colon or a comparison.
-NAMED = re.compile(r"([A-Za-z_$][\w.$-]*)[\"'`]?\]?\s*(?::\s*[\w<>\[\]|. ]{1,40}?\s*)?(?:\?\?|\|\||[=!]==?|:=|=>|=|:)\s*\(?\s*[rRbBuUfF]{0,2}$")
-CALL = re.compile(r"([A-Za-z_$][\w.$]*)\s*(?:=\s*)?[\[({]$")
+NAMED = re.compile(r"(?<![\w.$-])(?:[^\WA-Za-z_]|[.-])*+([A-Za-z_$][\w.$-]*+)[\"'`]?\]?\s*(?::\s*[\w<>\[\]|. ]{1,40}?\s*)?(?:\?\?|\|\||[=!]==?|:=|=>|=|:)\s*\(?\s*[rRbBuUfF]{0,2}$")
+CALL = re.compile(r"(?<![\w.$])(?:[^\WA-Za-z_]|\.)*+([A-Za-z_$][\w.$]*+)\s*(?:=\s*)?[\[({]$")
+BRACKET = re.compile(r"[()\[\]{}]")
 #: name = value, name: value, NAME=value of configuration files.
 CONFIG = re.compile(r"^\s*(?:export\s+|set\s+|-\s+)?[\"']?(?P<n>[A-Za-z_][\w.-]*)[\"']?\s*[=:]\s*(?P<v>[^\s\"'#;].*?)\s*,?\s*$")
 
 
-def name_of(before: str) -> str:
-    """The name that the literal behind `before` is assigned, given or passed to."""
-    before = before[-160:]
-    if m := NAMED.search(before):
+NEW = re.compile(r"(?:\bnew|\bawait)\s+$")
+BEHIND_LITERAL = re.compile(r"[\"']\s*,\s*$")
+
+
+def name_of(line: str, at: int, since: int, opened: list[tuple[int, int]]) -> str:
+    """The name that the literal at `at` is assigned, given or passed to. `since` is where the literal
+    before it begins, opened has the place of each open bracket and the `since` of that place."""
+    if m := NAMED.search(line, since, at):
         return m[1]
-    depth = 0
-    for i in range(len(before) - 1, -1, -1):
-        c = before[i]
-        if c in ")]}":
-            depth += 1
-        elif c in "([{":
-            if not depth:
-                m = CALL.search(before[: i + 1])
-                if not m:
-                    return ""
-                if LOGIN_CALL.search(m[1]) and re.search(r"[\"']\s*,\s*$", before):
-                    return "password"
-                if name_kind(m[1]) != "other":
-                    return m[1]
-                # what a call makes of the literal goes to the name before the call
-                outer = NAMED.search(re.sub(r"(?:\bnew|\bawait)\s+$", "", before[: m.start()]))
-                return outer[1] if outer else m[1]
-            depth -= 1
-    return ""
+    if not opened:
+        return ""
+    i, since_i = opened[-1]
+    m = CALL.search(line, since_i, i + 1)
+    if not m:
+        return ""
+    if LOGIN_CALL.search(m[1]) and BEHIND_LITERAL.search(line, since, at):
+        return "password"
+    if name_kind(m[1]) != "other":
+        return m[1]
+    # what a call makes of the literal goes to the name before the call
+    end = m.start(1)
+    if n := NEW.search(line, since_i, end):
+        end = n.start()
+    outer = NAMED.search(line, since_i, end)
+    return outer[1] if outer else m[1]
 
 
 def literals(line: str, config: bool, name_before: str = "") -> Iterator[tuple[int, int]]:
     """Spans of the credentials of one line."""
     name, parts, joined = "", [], ""
-    end = -1
+    end, since, seen = -1, 0, 0
+    opened: list[tuple[int, int]] = []
     for m in QUOTED.finditer(line):
         between = line[end : m.start()] if end >= 0 else ""
+        for c in BRACKET.finditer(line, seen, m.start()):
+            if c[0] in "([{":
+                opened.append((c.start(), since))
+            elif opened:
+                opened.pop()
+        seen = m.end()
         if end >= 0 and (between.strip() in ("+", ".") or not between.strip()):
             parts.append(m.span("v"))  # one value in several literals
             joined += m["v"]
         else:
             if parts and live(name, joined):
                 yield from parts
-            before = line[: m.start()]
-            name = name_of(before) or (name_before if not before.strip(" \t([+") else "")
+            name = name_of(line, m.start(), since, opened) or (name_before if end < 0 and not line[: m.start()].strip(" \t([+") else "")
             parts, joined = [m.span("v")], m["v"]
-        end = m.end()
+        end, since = m.end(), m.start()
     if parts and live(name, joined):
         yield from parts
     if config and (m := CONFIG.match(line)):
@@ -227,11 +235,26 @@ def literals(line: str, config: bool, name_before: str = "") -> Iterator[tuple[i
             yield m.span()
 
 
-#: A line without any of these holds nothing that the patterns above could find.
-SIGNS = (
-    "pass pwd psw secret tok key auth bearer basic cred jwt sig= sig_ signature signing login access cookie session salt pat_ identified пароль логин доступ -----begin account connect --user :// eyj akia asia"
+#: What LOGIN_CALL accepts, in lower case and without what other signs cover.
+LOGIN_SIGNS = "connect login log_in signin sign_in auth createclient create_connection open_session".split()
+#: The signs of FIELDS, TOKEN_FORM and key blocks that are no words of names.
+FORM_SIGNS = (
+    "basic identified пароль логин доступ -----begin account --user :// eyj akia asia"
     " ghp_ gho_ ghu_ ghs_ ghr_ github_pat glpat xox sk_ rk_ pk_ sk- aiza ya29 npm_ pypi- hf_ dop_v1 sg."
 ).split() + [" -u ", " / ", " -p"]
+
+
+def _least(words: Iterable[str]) -> list[str]:
+    """The words that hold no other of them: who looks for these finds all."""
+    words = set(words)
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
+
+
+#: A line without any of these, LONG_TAIL and SPREAD holds nothing that the patterns above could find:
+#: every word that makes name_kind strong or weak is among them, and every call of LOGIN_CALL.
+SIGNS = _least([*STRONG, *WEAK, "pass", *LOGIN_SIGNS, *FORM_SIGNS])
+#: The words that name_kind also finds across the parts of a name.
+SPREAD = re.compile("|".join(r"[^a-z\s]*".join(w) for w in ("password", "passwd", "apikey")))
 LONG_TAIL = re.compile(r"_[a-z0-9]{24}")
 
 
@@ -240,7 +263,7 @@ def worth(content: str) -> list[int]:
     low = content.lower()
     if len(low) != len(content):  # a letter that grows in lower case: keep the places aligned
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in content)
-    at: list[int] = [m.start() for m in LONG_TAIL.finditer(low)]
+    at: list[int] = [m.start() for p in (LONG_TAIL, SPREAD) for m in p.finditer(low)]
     for sign in SIGNS:
         i = low.find(sign)
         while i >= 0:
@@ -286,7 +309,7 @@ def found(content: str | None, language: str | None) -> list[tuple[int, list[tup
         if spans:
             out.append((no + 1, spans))
         # a value on the next line
-        if no + 1 < len(lines) and line[-1:] in ("=", ":", "(", "\\", " ") and (m := OPENED.search(line[-120:])):
+        if no + 1 < len(lines) and line[-1:] in ("=", ":", "(", "\\", " ", "\t", "\r") and (m := OPENED.search(line[-120:])):
             name_before, after = m[1], no + 1
             if after not in signed and (spans := sorted(set(literals(lines[after], False, name_before)))):
                 out.append((after + 1, spans))

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from codelode.llm import credentials as c
@@ -70,3 +72,33 @@ def test_rows(spark):
     assert c.lines(files, blobs.limit(0)).count() == 0
     got = {r.file_id: r.content for r in c.redacted(files, blobs).collect()}
     assert got[3] is None and got[4] == "" and c.REDACTED in got[2]
+
+
+@pytest.mark.parametrize("name", sorted(c.STRONG | c.WEAK | set(c.GLUED)) + ["pass", "PAT", "userPin", "sigab", "pas_sword", "passw-d.passwd", "a_pike_y", "Tok", "pass_word", "api.key"])
+def test_every_name_passes_the_filter(name):
+    assert c.name_kind(name) == "other" or c.worth(f'x\n{name} = "aB3"') == [1]
+
+
+@pytest.mark.parametrize("call", "connect login log_in logIn signIn sign_in authenticate auth basicAuth basic_auth HTTPBasicAuth createConnection create_connection createClient open_session".split())
+def test_every_call_passes_the_filter(call):
+    line = f"db.{call}('svc', 'linnim-prinim-jatro56')"
+    assert c.LOGIN_CALL.search(f"db.{call}") and c.redact(f"x\n{line}", "python") == "x\n" + line.replace("linnim-prinim-jatro56", "REDACTED")
+
+
+@pytest.mark.parametrize("name", ["pat", "pin", "sig", "my_pat", "userPin"])
+def test_short_names(name):
+    for text in (f'{name}: "K9sT4vQ2mX7pL1wZ8r"', f'{name} = "K9sT4vQ2mX7pL1wZ8r"', f'{name} = (\r\n  "K9sT4vQ2mX7pL1wZ8r"\r\n)'):
+        assert "K9sT4vQ2" not in c.redact(text, "typescript")
+
+
+def test_brackets_are_tracked_over_the_whole_line():
+    far = ", ".join(f"'word{i} (or'" for i in range(40))
+    assert c.redact(f"f(a); login({far}, 'linnim-prinim-jatro56')", "python") == f"f(a); login({far}, 'REDACTED')"
+    long = "token = make(" + "n + " * 100 + '"K9sT4vQ2mX7pL1wZ8r")'
+    assert "K9sT4vQ2" not in c.redact(long, "python")
+
+
+def test_long_lines_take_no_longer_in_square():
+    began = time.process_time()
+    c.found("token = [" + ", ".join(f'f({i}, "{"a" * 200}")' for i in range(20_000)) + "]", "javascript")
+    assert time.process_time() - began < 30
