@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.session import cut
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -65,3 +69,61 @@ def cosine(a: Column, b: Column) -> Column:
     """0 when either is all zero (NRM-3)."""
     n = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
+
+
+#: Queries and rows that are compared in one group.
+QUERY_BLOCK, ROW_BLOCK = 4096, 16384
+
+
+def current(vectors: DataFrame) -> DataFrame:
+    """(symbol_id, model_id, dim, vector): the newest vector of every symbol and model, if it is of its dimension and finite."""
+    w = Window.partitionBy("symbol_id", "model_id").orderBy(F.col("updated_at").desc_nulls_last())
+    v = vectors.where("symbol_id is not null and model_id is not null").withColumn("rn", F.row_number().over(w)).where("rn = 1 and vector is not null and dim > 0 and size(vector) = dim")
+    return v.where(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("symbol_id", "model_id", "dim", "vector")
+
+
+def _compare(k: int):
+    """The k best rows of one group for each of its queries, by rounded cosine, ties by id."""
+
+    def unit(vectors) -> np.ndarray:
+        x = np.array(vectors.tolist(), dtype=np.float64)
+        top = np.abs(x).max(1, keepdims=True)
+        x = x / np.where(top == 0, 1, top)
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(n == 0, 1, n)
+
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(rows):
+            rows = rows.sort_values("row_id")
+            ids, x = rows["row_id"].to_numpy(), unit(rows["row"])
+            n, m = len(ids), min(k, len(ids))
+            back = np.arange(n)[::-1]
+            for at in range(0, len(queries), 256):
+                q = queries.iloc[at : at + 256]
+                r = np.floor(unit(q["vector"]) @ x.T * 1e5 + 0.5).astype(np.int64)
+                top = np.argpartition(r * n + back, n - m, axis=1)[:, n - m :]
+                out.append(pd.DataFrame({"model_id": q["model_id"].repeat(m).to_numpy(), "query_id": q["symbol_id"].repeat(m).to_numpy(), "symbol_id": ids[top].ravel(), "cosine": np.take_along_axis(r, top, 1).ravel() / 1e5}))
+        return pd.concat(out) if out else pd.DataFrame({"model_id": pd.Series(dtype=object), "query_id": pd.Series(dtype="int64"), "symbol_id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+
+    return run
+
+
+def nearest(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
+    """(model_id, query_id, symbol_id, cosine): the k most similar current vectors of the same model
+    and dimension for every current vector that is asked for, itself among them; exact.
+
+    Queries and rows are dealt into blocks, and every block of queries meets every block of rows in
+    a task of its own."""
+    v = cut(current(vectors))
+    # one row per model and dimension
+    blocks = v.groupBy("model_id", "dim").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("rbs"), F.ceil(F.count(F.when(asked, 1).otherwise(None)) / QUERY_BLOCK).cast("int").alias("qbs")).where("qbs > 0")
+    v = v.join(F.broadcast(blocks), ["model_id", "dim"])
+    deal = lambda n: F.pmod(F.xxhash64("symbol_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["model_id", "dim", "qb", "rb", "symbol_id", "vector"]
+    q = v.where(asked).withColumn("qb", deal("qbs")).withColumn("rb", each("rbs")).select(*cols)
+    r = v.withColumn("rb", deal("rbs")).withColumn("qb", each("qbs")).select(*[F.col(c).alias(a) for c, a in zip(cols, ("m", "d", "q", "r", "row_id", "row"), strict=True)])
+    met = q.groupBy(*cols[:4]).cogroup(r.groupBy("m", "d", "q", "r")).applyInPandas(_compare(k), "model_id string, query_id long, symbol_id long, cosine double")
+    w = Window.partitionBy("model_id", "query_id").orderBy(F.desc("cosine"), "symbol_id")
+    return met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")

@@ -162,7 +162,7 @@ q as (select vector as qv, symbol_id as query_id from v order by symbol_id limit
 select query_id, symbol_id, round(case when n = 0 then 0 else d / n end, 5) as cosine from (select query_id, symbol_id, list_dot_product(vector::double[], qv::double[]) as d, sqrt(list_dot_product(vector::double[], vector::double[]) * list_dot_product(qv::double[], qv::double[])) as n from v, q) order by cosine desc, symbol_id limit 40""",
 )
 def top_vectors(vectors):
-    """The forty vectors nearest to one (S-VEC, JN-17, TOP-2): one query row against all."""
+    """The forty vectors nearest to one, for comparison with SQL; svec_all has every query (S-VEC, JN-17, TOP-2)."""
     w = Window.partitionBy("symbol_id", "model_id").orderBy(F.desc("updated_at"))
     v1 = vectors.where("model_id = 'minilex-64'").withColumn("rn", F.row_number().over(w)).where("rn = 1 and vector is not null and size(vector) = dim and dim = 64").where(F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))))
     q = v1.orderBy("symbol_id").limit(1).select(F.col("symbol_id").alias("query_id"), F.col("vector").alias("qv"))
@@ -171,6 +171,12 @@ def top_vectors(vectors):
     return met.orderBy(F.desc("cosine"), "symbol_id").limit(40)
 
 
+@query("svec_all", "symbol_vectors", "")
+def all_top_vectors(vectors):
+    """The forty nearest vectors of its model for every current vector whose symbol_id is divisible by 20."""
+    return search.nearest(vectors, F.col("symbol_id") % 20 == 0, 40)
+
+
 @query("agg2_notes_by_type", "m", "select type, stale_status, count(*) as notes from m group by 1, 2")
 def notes_by_type(m):
     return m.groupBy("type", "stale_status").agg(F.count("*").alias("notes"))

@@ -1,6 +1,7 @@
 import math
 import sqlite3
 
+import numpy as np
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from codelode.functions import text as t
 from codelode.operators import maintain, rank, search
 from codelode.operators import views as v
 from codelode.operators.pagerank import personalized_pagerank
-from codelode.plans import maintain_queries, rank_queries
+from codelode.plans import maintain_queries, rank_queries, text_queries
 from codelode.sources import walk
 from codelode.streaming import feeds
 
@@ -147,3 +148,20 @@ def test_rank_for_task(spark):
     got = rank.rank_for_task("patient referral window", v.files(spark, DATA), v.symbols(spark, DATA), v.edges(spark, DATA), m, rounds=2).collect()
     assert 0 < len(got) <= 40 and all(a.score >= b.score for a, b in zip(got, got[1:], strict=False))
     assert all(0 <= r.lex <= 1 and 0 <= r.graph <= 1 and not math.isnan(r.score) and r.reasons for r in got)
+
+
+def test_every_query_vector_of_every_model_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "ROW_BLOCK", 50)
+    rng = np.random.default_rng(2)
+    rows = [(i, m, d, [float(x) for x in (rng.standard_normal(d) if i % 7 else np.ones(d))], 2) for m, d in (("a", 8), ("b", 5)) for i in range(200)]
+    stale = [(20, "a", 8, [9.0] * 8, 1), (40, "b", 5, [float("nan")] * 5, 3), (60, "b", 5, [0.0] * 5, 3), (80, "b", 5, None, 1), (None, "a", 8, [1.0] * 8, 1), (400, "c", 2, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows + stale, "symbol_id long, model_id string, dim int, vector array<float>, updated_at long")
+    got = {}
+    for r in text_queries.all_top_vectors(df).collect():
+        got.setdefault((r.model_id, r.query_id), []).append((-r.cosine, r.symbol_id))
+    now = {(m, i): np.array(x) for i, m, _, x, _ in rows} | {("b", 60): np.zeros(5), ("c", 400): np.array([1.0, 0.0])}
+    del now["b", 40]
+    cos = lambda a, b: round(float(a @ b) / (math.sqrt(float(a @ a) * float(b @ b)) or 1), 5)
+    want = {(m, i): sorted((-cos(x, y), j) for (n, j), y in now.items() if n == m)[:40] for (m, i), x in now.items() if i % 20 == 0}
+    assert {k: sorted(x) for k, x in got.items()} == {k: [(pytest.approx(c, abs=1.1e-5), j) for c, j in x] for k, x in want.items()}
