@@ -58,10 +58,9 @@ def rank_for_task(task: str, files: DataFrame, symbols: DataFrame, edges: DataFr
     rows = cut(rows.select("id", "name", "path", "start_line", "churn", "date", *[zero(c) for c in ("lex", "raw_sem", "ppr", "mem", "note")]))
     paths = rows.select("path").distinct().crossJoin(F.broadcast(near)).groupBy("path").agg(F.max(t.dir_overlap(F.col("path"), F.col("seed_path"))).alias("path_score"))
     scaled = (
-        rows.join(paths, "path", "left")
-        .withColumn("sem", search.min_max("raw_sem", []))
-        .withColumn("graph", search.min_max("ppr", []))
-        .withColumn("git", 0.5 * search.min_max("date", []) + 0.5 * search.min_max("churn", []))
+        search.scaled(rows, {"sem": "raw_sem", "graph": "ppr", "recent": "date", "changed": "churn"})
+        .join(paths, "path", "left")
+        .withColumn("git", 0.5 * F.col("recent") + 0.5 * F.col("changed"))
         .withColumn("path_score", F.coalesce("path_score", F.lit(0.0)))
     )
     parts = {"lex": "lex", "sem": "sem", "graph": "graph", "path": "path_score", "git": "git", "mem": "mem", "note": "note"}

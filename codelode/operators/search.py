@@ -61,6 +61,16 @@ def min_max(col: str, by: list[str]) -> Column:
     return F.when(hi == lo, 0.0).otherwise((F.col(col) - lo) / (hi - lo))
 
 
+def scaled(rows: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Adds each new column: its old one scaled to 0..1 over all rows, all 0 when they are alike (NRM-1).
+
+    The bounds are one row, found by one aggregation and joined back, so no task sees all rows."""
+    b = rows.agg(*[f(c).alias(f"{n}_{new}") for new, c in cols.items() for n, f in (("lo", F.min), ("hi", F.max))])
+    lo, hi = (lambda new: F.col(f"lo_{new}")), (lambda new: F.col(f"hi_{new}"))
+    part = {new: F.when(hi(new) == lo(new), 0.0).otherwise((F.col(c) - lo(new)) / (hi(new) - lo(new))) for new, c in cols.items()}
+    return rows.crossJoin(F.broadcast(b)).withColumns(part).drop(*b.columns)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -28,6 +28,21 @@ def test_pagerank_of_three_nodes(spark, seeds, most, want):
         assert got[n] == pytest.approx(w, abs=2e-5)
 
 
+def test_scaling_over_all_rows_needs_no_window(spark):
+    df = spark.createDataFrame([(1, 0.0, 7), (2, 5.0, 7), (3, 10.0, 7)], "id long, x double, y long")
+    got = search.scaled(df, {"sx": "x", "sy": "y"})
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == ["id", "x", "y", "sx", "sy"]
+    assert sorted((r.id, r.sx, r.sy) for r in got.collect()) == [(1, 0.0, 0.0), (2, 0.5, 0.0), (3, 1.0, 0.0)]
+
+
+def test_ranking_scales_without_a_window(spark, monkeypatch):
+    monkeypatch.setattr(rank, "personalized_pagerank", lambda nodes, edges, seeds, **k: nodes.select("node", F.rand(1).alias("rank")))
+    out = rank_queries.srank_eval(spark, DATA)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window [min(" in x]
+
+
 def chain(spark):
     """Ten symbols, each calling the next; a note names the first."""
     s = spark.createDataFrame([(i, f"n{i}") for i in range(10)], "id long, name string")
