@@ -3,10 +3,13 @@
 Texts are reduced to words (runs of letters and digits, after undoing case, markup, invisible
 characters, compatibility forms, combining marks and look-alike letters). Numbers, names and
 units become typed placeholders; every window of SPAN // 2 words is hashed as a template with its
-slot values aside. Document windows meet passage windows in a hash join on the template, the
-slots are checked, and the aligned texts are compared word for word: a document leaks a task
-when SPAN consecutive words of the passage stand in it, of which at most one, inside, is
-replaced. One of the two halves of such a stretch has no replaced word, so no case is lost.
+slot values aside. Document windows meet passage windows in a hash join on the template alone; per
+document, passage and shift the windows are counted, and those with the passage's slot values
+too. Slots tell the two kinds of hit apart: with equal ones the aligned texts are compared word
+for word, and a document leaks a task when SPAN consecutive words of the passage stand in it, of
+which at most one, inside, is replaced (one of the two halves of such a stretch has no replaced
+word, so no case is lost); with other ones, consistent along SPAN words, the document asks the
+passage again with other parameters (`variants`).
 
 Defined results: null, empty and blank texts and passages shorter than SPAN words give no row;
 repeated documents each give their rows, a repeated doc_id counts once; a very long text is a
@@ -62,13 +65,24 @@ def words(text: str | None) -> list[str]:
     return [fold(w) for w in WORD.findall(text)]
 
 
-def names_of(passages: list[str | None]) -> frozenset[str]:
-    """Words that the passages write with a capital inside a sentence."""
-    out = set()
-    for p in passages:
-        for m in re.finditer(r"(?<=[a-zа-я,;:] )[A-ZА-Я][^\W\d_]+", p or ""):
-            out.add(fold(m[0]))
-    return frozenset(out)
+#: A word with a capital inside a sentence.
+NAME = re.compile(r"(?<=[a-zа-я,;:] )[A-ZА-Я][^\W\d_]+")
+#: Different names of all passages that may be held by every task.
+MOST_NAMES = 200_000
+
+
+def names_of(held: DataFrame) -> frozenset[str]:
+    """Words that the passages write with a capital inside a sentence, gathered by Spark; only the different names,
+    a checked number of them, reach the driver."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"name": sorted({fold(m[0]) for p in b["passage"] for m in NAME.finditer(p)})}, dtype=object)
+
+    names = held.select("passage").mapInPandas(run, "name string").distinct().limit(MOST_NAMES + 1).collect()
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names in the held-out passages")
+    return frozenset(r.name for r in names)
 
 
 @lru_cache(maxsize=200_000)
@@ -141,40 +155,87 @@ def stretch(doc: list[str], passage: list[str], shift: int) -> int:
     return best
 
 
+def typed(word: str, names: frozenset[str]) -> bool:
+    return kind(word, names) is not word
+
+
+def template_hits(documents: DataFrame, held: DataFrame, names: frozenset[str], key: str, text: str) -> DataFrame:
+    """(key, task_id, shift, windows, equal): documents that hold windows of a passage's template at one shift
+    (document position less passage position), and how many of these have the passage's slot values."""
+    wanted = template_windows(held, "task_id", "passage", names).select("task_id", F.col("pos").alias("at"), "template", F.col("slots").alias("other"))
+    near = template_windows(documents, key, text, names).join(bounded(wanted), "template")
+    equal = F.sum((F.col("slots") == F.col("other")).cast("int"))
+    return near.groupBy(key, "task_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("windows"), equal.alias("equal"))
+
+
+def aligned(hits: DataFrame, documents: DataFrame, held: DataFrame, key: str, text: str, accept) -> DataFrame:
+    """(key, task_id, n) of the best n > 0 that `accept` (document words, passage words, shift) gives for a hit.
+
+    The hits of a document are one row, which is broadcast to the texts if their number allows it, so that no
+    text moves; the passages come by task."""
+    per = hits.groupBy(key, "task_id").agg(F.collect_set("shift").alias("shifts"))
+    found = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).join(bounded(per), key).join(bounded(held), "task_id")
+
+    def run(batches):
+        kept: dict = {}
+
+        def of(x):
+            if x not in kept:
+                if len(kept) > 500:
+                    kept.clear()
+                kept[x] = words(x)
+            return kept[x]
+
+        for b in batches:
+            best = [max(accept(d, p, int(s)) for s in shifts) for d, p, shifts in zip(map(words, b[text]), map(of, b["passage"]), b["shifts"], strict=True)]
+            yield pd.DataFrame({key: b[key], "task_id": b["task_id"], "n": best}).query("n > 0")
+
+    return found.select(key, "task_id", text, "passage", "shifts").mapInPandas(run, f"{key} long, task_id long, n long").groupBy(key, "task_id").agg(F.max("n").alias("n"))
+
+
+def held_out(tasks: DataFrame) -> DataFrame:
+    return tasks.where("task_id is not null and passage is not null").select(F.col("task_id").cast("long").alias("task_id"), "passage").distinct()
+
+
 def leaks(documents: DataFrame, tasks: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """(doc_id, task_id) for every document that repeats `span` words of the passage of a task."""
-    held = tasks.where("task_id is not null and passage is not null").select("task_id", "passage")
-    # the held-out set is small by nature; the names of its passages are gathered, not the corpus
-    names = names_of([r.passage for r in held.select("passage").distinct().toLocalIterator()])
-    wanted = template_windows(held, "task_id", "passage", names).withColumnRenamed("pos", "at")
-    mine = template_windows(documents, key, text, names)
-    near = mine.join(bounded(wanted.select("template", "slots").distinct()), ["template", "slots"])
-    hits = near.join(wanted, ["template", "slots"]).select(key, "task_id", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-    found = hits.join(documents.where(F.col(text).isNotNull()).select(key, text), key).join(held, "task_id")
-
-    def verify(batches):
-        for b in batches:
-            keep = []
-            kept: dict = {}
-            for d, p, s in zip(b[text], b["passage"], b["shift"], strict=True):
-                for x in (d, p):
-                    if x not in kept:
-                        if len(kept) > 200:
-                            kept.clear()
-                        kept[x] = words(x)
-                keep.append(stretch(kept.get(d) or words(d), kept.get(p) or words(p), int(s)) >= span)
-            yield b.loc[keep, [key, "task_id"]]
-
-    return found.sortWithinPartitions(key).mapInPandas(verify, f"{key} long, task_id long").distinct()
-
-
-def variants(documents: DataFrame, tasks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, task_id, windows): documents that hold a passage's templates with other numbers or names, at
-    one shift for WINDOW windows or more in a row, and do not hold the passage itself."""
-    held = tasks.where("task_id is not null and passage is not null").select("task_id", "passage")
-    names = names_of([r.passage for r in held.select("passage").distinct().toLocalIterator()])
-    wanted = template_windows(held, "task_id", "passage", names).select("task_id", F.col("pos").alias("at"), "template", F.col("slots").alias("other"))
-    near = template_windows(documents, key, text, names).join(bounded(wanted.select("template").distinct()), "template")
-    same = near.join(wanted, "template").groupBy(key, "task_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("windows"), F.sum((F.col("slots") == F.col("other")).cast("int")).alias("equal"))
-    alike = same.where(f"windows > {WINDOW}").groupBy(key, "task_id").agg(F.max("windows").cast("bigint").alias("windows"))
-    return alike.join(leaks(documents, tasks, key, text), [key, "task_id"], "left_anti")
+    held = held_out(tasks)
+    names = names_of(held)
+    hits = template_hits(documents, held, names, key, text).where("equal > 0")
+    return aligned(hits, documents, held, key, text, lambda d, p, s: int(stretch(d, p, s) >= span)).select(key, "task_id")
+
+
+def varied(doc: list[str], passage: list[str], shift: int, names: frozenset[str], span: int = SPAN) -> int:
+    """The words of the longest stretch of `span` or more at this shift whose words are the passage's or, in slots of the same
+    type, others: at least one slot differs, no slot value stands for two, and half of the words are no slots; 0 if there is none."""
+    best, begun = 0, max(0, -shift)
+    there: dict = {}  # slot value of the passage: (that of the document, last place)
+    changed = -1
+    for at in range(begun, min(len(passage), len(doc) - shift)):
+        p, d = passage[at], doc[at + shift]
+        slot = typed(p, names)
+        if p != d and not (slot and kind(p, names) == kind(d, names)):
+            begun, changed = at + 1, -1
+            there.clear()
+            continue
+        if slot:
+            other = there.get(p)
+            if other and other[0] != d:
+                begun = max(begun, other[1] + 1)  # the stretch begins behind the contradiction
+            there[p] = (d, at)
+            if p != d:
+                changed = at
+        size = at + 1 - begun
+        if changed >= begun and size >= span and size > best and 2 * sum(typed(w, names) for w in passage[begun : at + 1]) <= size:
+            best = size
+    return best
+
+
+def variants(documents: DataFrame, tasks: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """(doc_id, task_id, words): documents that hold `span` words or more of a passage in a row with other numbers,
+    names or units, the same one for the same, and do not hold the passage itself."""
+    held = held_out(tasks)
+    names = names_of(held)
+    hits = template_hits(documents, held, names, key, text).where(f"windows > {WINDOW} and equal < windows")
+    alike = aligned(hits, documents, held, key, text, lambda d, p, s: varied(d, p, s, names, span)).withColumnRenamed("n", "words")
+    return alike.join(leaks(documents, tasks, key, text, span), [key, "task_id"], "left_anti")

@@ -40,10 +40,25 @@ def test_empty_tables(spark):
     assert k.leaks(docs.union(docs), tasks).count() == 1
 
 
+SUM = "We add 12 apples to the 7 boxes and send 30 letters to Quillon before the 9 crates leave on 5 carts"
+
+
 def test_variants(spark):
-    docs = spark.createDataFrame([(1, PASSAGE.replace("456", "99").replace("Quillon", "Velloram")), (2, PASSAGE), (3, "nothing")], "doc_id long, text string")
-    tasks = spark.createDataFrame([(7, "It says: " + PASSAGE + " Then Velloram waits, as Quillon does.")], "task_id long, passage string")
-    assert [r.doc_id for r in k.variants(docs, tasks).collect()] in ([], [1])
+    one = SUM.replace("12", "13").replace("7", "8").replace("30", "31").replace("Quillon", "Velloram").replace("9", "4")
+    docs = spark.createDataFrame([(1, one), (2, SUM), (3, "nothing"), (4, one.replace("apples", "pears").replace("send", "post").replace("crates", "x")), (None, one), (5, None)], "doc_id long, text string")
+    tasks = spark.createDataFrame([(7, "It says: " + SUM + " and so, Velloram waits, as Quillon does.")], "task_id long, passage string")
+    assert [(r.doc_id, r.words) for r in k.variants(docs, tasks).collect()] == [(1, len(SUM.split()))]
+    assert [r.doc_id for r in k.leaks(docs, tasks).collect()] == [2]
+
+
+def test_slots_must_be_consistent():
+    names = frozenset()
+    p = k.words("set 7 and then 7 but a b c d e f g h i j k l m n")
+    same, other = k.words("set 8 and then 8 but a b c d e f g h i j k l m n"), k.words("set 8 and then 9 but a b c d e f g h i j k l m n")
+    assert k.varied(same, p, 0, names) == len(p)
+    assert k.varied(other, p, 0, names) == len(p) - 2  # without the first number
+    assert k.varied(p, p, 0, names) == 0
+    assert k.varied(k.words("x y " + " ".join(same)), p, 2, names) == len(p)
 
 
 def test_against_brute_force(spark):
