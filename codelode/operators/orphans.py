@@ -1,12 +1,15 @@
 """References to records that do not exist, found with compressed bitmaps.
 
-Keys are dictionary-encoded: the node type becomes a small integer and the id is split into a
-range of 32,768 keys and a bit inside it. References make one bitmap per (type, range, period),
-parents one per (type, range, period of creation). For each period the reference bitmap AND NOT
-the parents created in earlier periods leaves the keys that may be orphans; they are decoded and
-only the references to them are read again, with an exact check of existence, tombstone and
-time. A hot key costs one bit, however many rows refer to it: bitmaps are built map-side before
-the shuffle.
+Keys are dictionary-encoded: the node type becomes a small integer, and a key, an integer itself, is
+its own code (ids of any spread do, see below; ranking them anew would move every reference). A code
+is split into a range of 64 keys and a bit inside it, and only ranges with a bit set exist: a
+bitmap is one eight-byte word per (type, range, period), so sparse ids cost a word each and dense
+ones an eighth of a byte. References make one word per (type, range, period), parents one per
+(type, range, period of creation), or-ed map-side before the shuffle, so a hot key costs one bit
+however many rows refer to it. For each period the reference word AND NOT the parents created in
+earlier periods leaves the keys that may be orphans. They are decoded, looked up, and only the
+references to them are read again, with an exact check of existence, tombstone and time; while
+their number allows it they are broadcast, so that no reference moves.
 
 Defined results: a null reference, type or record id refers to nothing and gives no row; a row
 that comes several times counts once; a parent row with a null created_at exists from the
@@ -17,14 +20,15 @@ not read.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.session import bounded, cut
+
 #: Dictionary of the node types.
 TYPE_CODES = {"file": 1, "symbol": 2, "memory": 3, "package": 4}
-RANGE_BITS = 32_768
+#: Periods of rows without a time: a parent is older than all, a reference later than all.
+ALWAYS, NEVER = -1, 2_000_000_000
 
 
 def type_code(col: Column) -> Column:
@@ -70,46 +74,23 @@ def parents(files: DataFrame, symbols: DataFrame, memories: DataFrame, packages:
     return out.unionByName(packages.select(F.lit(4).alias("type_no"), F.col("id").alias("key"), F.lit(None).cast("bigint").alias("born"))).where("key is not null")
 
 
-def bitmaps(keys: DataFrame, time: str) -> DataFrame:
-    """One bitmap of 32,768 bits per (type, key range, period)."""
+def bitmaps(keys: DataFrame, time: str, timeless: int) -> DataFrame:
+    """(type_no, range, period, bits): the bits of the keys of one range of 64 that appear in a period."""
     return (
-        keys.select("type_no", F.bitmap_bucket_number("key").alias("bucket"), F.coalesce(period_no(F.col(time)), F.lit(-1)).alias("period"), F.bitmap_bit_position("key").alias("bit"))
-        .groupBy("type_no", "bucket", "period")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        keys.select("type_no", F.shiftright("key", 6).alias("range"), F.coalesce(period_no(F.col(time)), F.lit(timeless)).alias("period"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+        .groupBy("type_no", "range", "period")
+        .agg(F.bit_or("bit").alias("bits"))
     )
 
 
-def _and_not(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Of one key range: for each period the bits referred to AND NOT those born in an earlier period."""
-    born = sorted(zip(known["period"], known["bits"], strict=True), key=lambda x: x[0]) if len(known) else []
-    every = np.zeros(RANGE_BITS // 8, dtype=np.uint8)
-    for _, bits in born:
-        every |= np.frombuffer(bits, dtype=np.uint8)
-    have, i, bit, when = np.zeros(RANGE_BITS // 8, dtype=np.uint8), 0, [], []
-    for period, bits in sorted(zip(refs["period"], refs["bits"], strict=True), key=lambda x: x[0]):
-        while i < len(born) and born[i][0] < period:  # parents without a time (-1) come first
-            have |= np.frombuffer(born[i][1], dtype=np.uint8)
-            i += 1
-        # a reference without time is later than any parent
-        left = np.frombuffer(bits, dtype=np.uint8) & ~(every if period == -1 else have)
-        at = np.flatnonzero(np.unpackbits(left, bitorder="little"))
-        bit.append(at)
-        when.append(np.full(len(at), period, dtype=np.int32))
-    if not bit:
-        return pd.DataFrame({"type_no": pd.Series(dtype="int32"), "key": pd.Series(dtype="int64"), "period": pd.Series(dtype="int32")})
-    at, bucket = np.concatenate(bit), int(refs["bucket"].iat[0])
-    # the inverse of bitmap_bucket_number and bitmap_bit_position
-    key = (bucket - 1) * RANGE_BITS + at + 1 if bucket > 0 else bucket * RANGE_BITS - at
-    return pd.DataFrame({"type_no": np.full(len(at), refs["type_no"].iat[0], dtype=np.int32), "key": key.astype(np.int64), "period": np.concatenate(when)})
-
-
 def suspects(refs: DataFrame, parent: DataFrame) -> DataFrame:
-    """(type_no, key, period) of references that no parent of an earlier period answers.
-
-    Bitmaps are small but costly to decode, so their partitions are not merged by size."""
-    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lambda df: df.repartition(n, "type_no", "bucket").groupBy("type_no", "bucket")
-    return spread(bitmaps(refs, "created_at")).cogroup(spread(bitmaps(parent, "born"))).applyInPandas(_and_not, "type_no int, key bigint, period int")
+    """(type_no, key, period) of references that no parent of an earlier period answers."""
+    none = F.lit(0).cast("bigint")
+    both = bitmaps(refs, "created_at", NEVER).select("*", none.alias("born")).unionByName(bitmaps(parent, "born", ALWAYS).select("type_no", "range", "period", none.alias("bits"), F.col("bits").alias("born")))
+    earlier = Window.partitionBy("type_no", "range").orderBy("period").rangeBetween(Window.unboundedPreceding, -1)
+    left = both.withColumn("left", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("born").over(earlier), none)))).where("left != 0")
+    bit = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(left, i) & 1) = 1)")).alias("bit")
+    return left.select("type_no", "range", "period", bit).select("type_no", (F.col("range") * 64 + F.col("bit")).alias("key"), "period")
 
 
 def orphans(edges: DataFrame, files: DataFrame, symbols: DataFrame, memories: DataFrame, packages: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -120,14 +101,15 @@ def orphans(edges: DataFrame, files: DataFrame, symbols: DataFrame, memories: Da
     reference.
     """
     refs, known = references(edges, files, symbols), parents(files, symbols, memories, packages)
-    maybe = suspects(refs, known)
-    born = known.groupBy("type_no", "key").agg(F.min(F.coalesce("born", F.lit(-(2**62)))).alias("born"))
+    maybe = cut(suspects(refs, known))
+    wanted = bounded(maybe.select("type_no", "key").distinct())
+    born = known.join(wanted, ["type_no", "key"], "left_semi").groupBy("type_no", "key").agg(F.min(F.coalesce("born", F.lit(-(2**62)))).alias("born"))
     dead = tombstones.select(type_code(F.col("entity_type")).alias("type_no"), F.col("entity_id").alias("key"), F.lit(True).alias("dead")).where("key is not null").distinct()
     # one row per suspect key and period, so the references below meet each key at most once
-    facts = maybe.join(born, ["type_no", "key"], "left").join(dead, ["type_no", "key"], "left")
+    facts = cut(maybe.join(born, ["type_no", "key"], "left").join(dead, ["type_no", "key"], "left"))
     found = (
-        refs.withColumn("period", F.coalesce(period_no(F.col("created_at")), F.lit(-1)))
-        .join(facts, ["type_no", "key", "period"])
+        refs.withColumn("period", F.coalesce(period_no(F.col("created_at")), F.lit(NEVER)))
+        .join(bounded(facts), ["type_no", "key", "period"])
         .where("born is null or born > created_at")
         .select("table_no", "record_id", F.when(F.col("born").isNotNull(), "late").when(F.col("dead"), "deleted").otherwise("missing").alias("state"), month(F.col("created_at")).alias("period"))
         .dropDuplicates(["table_no", "record_id"])

@@ -48,3 +48,10 @@ def test_hot_key(spark):
     edges = [(i, "file", 1, "package", 77, MAR, None) for i in range(3000)]
     got = o.orphan_report(o.orphans(*frames(spark, edges, files=[(1, 5, None, None, "a")]))).collect()
     assert [(r.field_name, r.state, r.orphans) for r in got] == [("target_id", "missing", 3000)]
+
+
+def test_scattered_and_negative_keys(spark):
+    keys = [0, 63, 64, -1, -64, -65, 2**62 + 5, -(2**62), 7_000_000_000_123]
+    edges = [(i, "file", k, "file", 1, APR, None) for i, k in enumerate(keys)]
+    got = found(*frames(spark, edges, files=[(1, MAR, None, None, "a"), (64, MAR, None, None, "a"), (-65, APR + 1, None, None, "a")]))
+    assert [(r[1], r[3]) for r in got] == [(i, "late" if k == -65 else "missing") for i, k in enumerate(keys) if k != 64]
