@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import cut
+
 #: Words that a leak has at least, and words of a template window.
 SPAN = 12
 WINDOW = SPAN // 2
@@ -173,7 +175,7 @@ def aligned(hits: DataFrame, documents: DataFrame, held: DataFrame, key: str, te
 
     The hits of a document are one row, which is broadcast to the texts if their number allows it, so that no
     text moves; the passages come by task."""
-    per = hits.groupBy(key, "task_id").agg(F.collect_set("shift").alias("shifts"))
+    per = cut(hits.groupBy(key, "task_id").agg(F.collect_set("shift").alias("shifts")))
     found = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).join(bounded(per), key).join(bounded(held), "task_id")
 
     def run(batches):
