@@ -1,8 +1,11 @@
 """Credentials embedded in source code and configuration, found lexically and redacted in place.
 
-Each text is tokenised line by line into names and literals: quoted literals of code, bare values
-of configuration files, and the fields of structured literals (addresses with user and password,
-query parameters, headers, connection strings, SQL grants, command lines). A literal counts when
+Code is lexed as a whole into comments and literals, so that strings over several lines, templates,
+block comments and quotes inside comments are known for what they are; configuration files are read
+line by line. Of these come names and literals: quoted literals of code and of the text in comments
+and long strings, bare values of configuration files, and the fields of structured literals
+(addresses with user and password, query parameters, headers, connection strings, SQL grants,
+command lines). A literal counts when
 it is assigned or passed to a name of a credential, or has the form of one, and is no stand-in,
 reference, hash, checksum, identifier or public key. Redaction replaces only the contents of the
 literal, so that delimiters, escapes and line ends stay as they are.
@@ -196,28 +199,96 @@ def name_of(line: str, at: int, since: int, opened: list[tuple[int, int]]) -> st
     return outer[1] if outer else m[1]
 
 
-def literals(line: str, config: bool, name_before: str = "") -> Iterator[tuple[int, int]]:
-    """Spans of the credentials of one line."""
+#: Comments and closed literals of code; in scripts also regular expressions, whose quotes open nothing.
+LEXED = {
+    True: re.compile(r"(?P<comment>#[^\n]*)|[rRbBuUfF]{0,2}(?P<q>\"{3}|'{3})(?P<long>(?:\\.|[^\\])*?)(?P=q)|(?P<r>[\"'])(?P<short>(?:\\.|(?!(?P=r))[^\\\n])*)(?P=r)", re.S),
+    False: re.compile(
+        r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<q>`)(?P<long>(?:\\.|[^`\\])*)`|(?P<r>[\"'])(?P<short>(?:\\.|(?!(?P=r))[^\\\n])*)(?P=r)"
+        r"|(?:(?<=[=(,:!&|?\[]\s)|(?<=[=(,:!&|?\[])|(?<=return\s))/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*",
+        re.S,
+    ),
+}
+Span = tuple[int, int, int, int]  # of a literal in its line: opening quote, contents, behind the closing quote
+
+
+def quoted(line: str, at: int = 0, end: int | None = None) -> list[Span]:
+    """The literals in a piece of a line that is text."""
+    return [(m.start(), *m.span("v"), m.end()) for m in QUOTED.finditer(line, at, len(line) if end is None else end)]
+
+
+def lexed(content: str, lines: list[str], language: str | None) -> tuple[dict[int, list[Span]], list[tuple[int, int, list[tuple[int, int, int]]]]]:
+    """The literals of every line (from 0) that has any, and the literals over several lines: (line and column of the
+    opening quote, (line, from, to) of the contents on each of their lines)."""
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    by_line: dict[int, list[Span]] = {}
+    spread, no = [], 0
+    for m in LEXED[language == "python"].finditer(content):
+        kind = m.lastgroup
+        if kind is None or m.group("comment") is None and m.group("long") is None and m.group("short") is None:
+            continue
+        at, end = m.span()
+        while starts[no + 1] <= at:
+            no += 1
+        base = starts[no]
+        text = m.group("comment") is not None
+        if not text and end <= starts[no + 1]:
+            inner = m.span("short") if m.group("short") is not None else m.span("long")
+            quote = m.start("r") if m.group("short") is not None else m.start("q")
+            by_line.setdefault(no, []).append((quote - base, inner[0] - base, inner[1] - base, end - base))
+            continue
+        # a comment, or a literal over several lines: text on each of its lines
+        pieces, k = [], no
+        first, last = (at, end) if text else m.span("long") if m.group("long") is not None else m.span("short")
+        while k < len(lines) and starts[k] < last:
+            a, b = max(first - starts[k], 0), min(last - starts[k], len(lines[k]))
+            if a < b:
+                pieces.append((k, a, b))
+                if spans := quoted(lines[k], a, b):
+                    by_line.setdefault(k, []).extend(spans)
+            k += 1
+        if not text:
+            spread.append((no, at - base, pieces))
+    return by_line, spread
+
+
+def spread_lines(lines: list[str], spread) -> dict[int, tuple[int, int]]:
+    """The lines of credentials that are written over several lines, each with the span of its part."""
+    out = {}
+    for no, at, pieces in spread:
+        parts = [(k, lines[k][a:b].removesuffix("\r").removesuffix("\\")) for k, a, b in pieces]
+        parts = [(k, t) for k, t in parts if t.strip()]
+        m = NAMED.search(lines[no], 0, at)
+        if m and parts and len(parts) <= 8 and live(m[1], "".join(t.strip() for _, t in parts)):
+            for k, t in parts:
+                a = lines[k].index(t.strip())
+                out[k] = (a, a + len(t.strip()))
+    return out
+
+
+def literals(line: str, config: bool, name_before: str = "", spans: list[Span] | None = None) -> Iterator[tuple[int, int]]:
+    """Spans of the credentials of one line; `spans` has its literals, if it was lexed."""
     name, parts, joined = "", [], ""
     end, since, seen = -1, 0, 0
     opened: list[tuple[int, int]] = []
-    for m in QUOTED.finditer(line):
-        between = line[end : m.start()] if end >= 0 else ""
-        for c in BRACKET.finditer(line, seen, m.start()):
+    for start, v, w, close in quoted(line) if spans is None else spans:
+        between = line[end:start] if end >= 0 else ""
+        for c in BRACKET.finditer(line, seen, start):
             if c[0] in "([{":
                 opened.append((c.start(), since))
             elif opened:
                 opened.pop()
-        seen = m.end()
+        seen = close
         if end >= 0 and (between.strip() in ("+", ".") or not between.strip()):
-            parts.append(m.span("v"))  # one value in several literals
-            joined += m["v"]
+            parts.append((v, w))  # one value in several literals
+            joined += line[v:w]
         else:
             if parts and live(name, joined):
                 yield from parts
-            name = name_of(line, m.start(), since, opened) or (name_before if end < 0 and not line[: m.start()].strip(" \t([+") else "")
-            parts, joined = [m.span("v")], m["v"]
-        end, since = m.end(), m.start()
+            name = name_of(line, start, since, opened) or (name_before if end < 0 and not line[:start].strip(" \t([+") else "")
+            parts, joined = [(v, w)], line[v:w]
+        end, since = close, start
     if parts and live(name, joined):
         yield from parts
     if config and (m := CONFIG.match(line)):
@@ -279,7 +350,7 @@ def worth(content: str) -> list[int]:
     return out
 
 
-OPENED = re.compile(r"([A-Za-z_][\w.$-]*)[\"']?\s*(?::\s*\w+\s*)?[=:]\s*[(\\]?\s*$")
+OPENED = re.compile(r"(?<![\w.$-])(?:[^\WA-Za-z_]|[.$-])*+([A-Za-z_][\w.$-]*+)[\"']?\s*(?::\s*\w+\s*)?[=:]\s*[(\\]?\s*$")
 CODE = {"python", "typescript", "tsx", "javascript", "jsx"}
 
 
@@ -292,6 +363,11 @@ def found(content: str | None, language: str | None) -> list[tuple[int, list[tup
     lines = content.split("\n")
     key_until, after, name_before = -1, -1, ""
     signed = set(queue := worth(content))
+    if not queue:
+        return []
+    of_line, spread = ({}, []) if config else lexed(content, lines, language)
+    long_parts = spread_lines(lines, spread)
+    known = (lambda no: None) if config else (lambda no: sorted(of_line.get(no, ())))
     for no in queue:
         if no <= key_until:
             continue
@@ -305,15 +381,19 @@ def found(content: str | None, language: str | None) -> list[tuple[int, list[tup
                     if PRIVATE_END.search(lines[key_until]):
                         break
             continue
-        spans = sorted(set(literals(line, config, name_before if no == after else "")))
+        spans = sorted(set(literals(line, config, name_before if no == after else "", known(no))))
         if spans:
             out.append((no + 1, spans))
         # a value on the next line
-        if no + 1 < len(lines) and line[-1:] in ("=", ":", "(", "\\", " ", "\t", "\r") and (m := OPENED.search(line[-120:])):
+        if no + 1 < len(lines) and line[-1:] in ("=", ":", "(", "\\", " ", "\t", "\r") and (m := OPENED.search(line)):
             name_before, after = m[1], no + 1
-            if after not in signed and (spans := sorted(set(literals(lines[after], False, name_before)))):
+            if after not in signed and (spans := sorted(set(literals(lines[after], False, name_before, known(after))))):
                 out.append((after + 1, spans))
-    return sorted(out)
+    hit = {no: spans for no, spans in out}
+    for no, span in long_parts.items():
+        if no + 1 not in hit:
+            hit[no + 1] = [span]
+    return sorted(hit.items())
 
 
 def redact(content: str | None, language: str | None) -> str | None:

@@ -1,27 +1,31 @@
 """Files that nobody wrote by hand: tool output, minified code, third-party copies, stored data.
 
-Each file is lexed and its tokens are laid out again in a canonical form; comparing that with
-the layout found tells minified code (far more canonical lines than lines) and uniform machine
-output (each line as the canonical form has it, with a banner that says so); the share of the
-text inside literals tells stored data. Place and notice tell third-party copies; a file equal to
-one of those, line ends and byte order mark aside, is a copy too.
+Each file is lexed and laid out again in a canonical form, one line for each statement and each
+opened or closed block, and the form is compared with the layout found. Extreme expansion without
+the spaces people write marks minified code; a text that is mostly one literal (a string, a list
+of numbers or of strings) is stored data. Perfect uniformity, every line as the canonical form
+has it, is measured too (`uniform`), but does not tell tool output from careful hand-written code
+(figures in the README): tool output is known by its banner, its name or its place. Place and
+notice tell third-party copies; a file equal to one of those, line ends (the last one too) and
+byte order mark aside, is a copy too.
 
 Defined results: a file without text (null content or no row) is judged by its path alone; an
 empty or blank text is no case by itself; versions of a file count once, by the newest path; a
 file row without text and a text without file row are judged by what is there; a null id gives
-no row; very long texts are lexed whole; extra columns are not read; empty tables give no rows.
+no row; very long texts and heads are lexed whole, in any language; extra columns are not read;
+empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Whose notice marks own work.
-OWNER = "meridian"
+from codelode.session import cut
 
 # --- place -----------------------------------------------------------------------------------
 
@@ -60,7 +64,7 @@ def head_of(text: str) -> list[str]:
     """The comment lines before the first line of code."""
     out = []
     block = False
-    for line in text.split("\n")[:60]:
+    for line in text.split("\n"):
         s = line.strip()
         if not s:
             continue
@@ -79,8 +83,8 @@ def banner(head: list[str]) -> bool:
     return any(TOOL_BANNER.search(x) and not NOT_BANNER.search(x) for x in head)
 
 
-def foreign_notice(head: list[str], owner: str = OWNER) -> bool:
-    """A notice at the head that names somebody else as holder."""
+def foreign_notice(head: list[str], owner: str) -> bool:
+    """A notice at the head that names somebody else than the owner as holder."""
     marks = [x for x in head if NOTICE.search(x)]
     if not marks:
         return False
@@ -93,36 +97,55 @@ def foreign_notice(head: list[str], owner: str = OWNER) -> bool:
 
 # --- layout ----------------------------------------------------------------------------------
 
-TOKEN = re.compile(
-    r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z)|\#[^\n]*)"
-    r"|(?P<regex>(?:(?<=[=(,:!&|?\[]\s)|(?<=[=(,:!&|?\[])|(?<=return\s))/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"
-    r"|(?P<string>[rRbBuUfF]{0,2}(?:\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z))|\"(?:\\.|[^\"\\\n])*(?:\"|(?=\n)|\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))"
-    r"|(?P<number>\b\d[\w.]*)|(?P<word>[^\W\d]\w*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<end>;)|(?P<line>\n)|(?P<punct>[^\s\w])",
-    re.S,
-)
+#: By whether a hash begins a comment.
+TOKENS = {
+    hashed: re.compile(
+        (r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z)|\#[^\n]*)" if hashed else r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))")
+        + r"|(?P<regex>(?:(?<=[=(,:!&|?\[]\s)|(?<=[=(,:!&|?\[])|(?<=return\s))/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"
+        r"|(?P<string>[rRbBuUfF]{0,2}(?:\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z))|\"(?:\\.|[^\"\\\n])*(?:\"|(?=\n)|\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))"
+        r"|(?P<number>\b\d[\w.]*)|(?P<word>[^\W\d]\w*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<end>;)|(?P<line>\n)|(?P<punct>[^\s\w])",
+        re.S,
+    )
+    for hashed in (True, False)
+}
+
+
+#: Languages whose comments begin with a hash, and formats in which keys are literals too (by extension).
+HASH_COMMENTS = frozenset("py pyi sh bash yaml yml toml ini cfg conf properties env local lock rb pl r mk".split())
+KEYED = frozenset("json yaml yml toml ini cfg conf properties env local".split())
+
+
+def layout(text: str, hash_comments: bool, keyed: bool = False) -> dict:
+    """The canonical lines of a text, and counts over its tokens and its own lines.
+
+    keyed: a colon ends a run of literals, as in formats whose keys are literals."""
+    tokens = literal = largest = run = depth = names = spaces = longest = 0
+    canonical: list[str] = []
+    line: list[str] = []
+    last = 0
 
+    def close():
+        if line:
+            canonical.append("".join(line))
+            line.clear()
 
-def layout(text: str, hash_comments: bool) -> dict:
-    """Counts over the tokens of a text and over its canonical form: a line for each statement and
-    each opened or closed block."""
-    tokens = canonical = literal = largest = lines = run = depth = names = 0
-    string_run = 0
-    for m in TOKEN.finditer(text):
+    for m in TOKENS[hash_comments].finditer(text):
         kind = m.lastgroup
+        at, last, size = last, m.end(), m.end() - m.start()
         if kind == "comment":
-            if m[0][0] == "#" and not hash_comments:
-                tokens += 1
             continue
         if kind == "line":
-            lines += 1
+            if hash_comments and depth <= 0:
+                close()
             continue
         tokens += 1
-        size = len(m[0])
+        spaces += " " in text[at : m.start()]
+        line.append(m[0])
         if kind in ("string", "number"):
             literal += size
             run += size
-            string_run = max(string_run, size)
-        elif kind == "punct" and m[0] in ",:-+.":
+            longest = max(longest, size)
+        elif kind == "punct" and m[0] in (",-+." if keyed else ",:-+."):
             pass
         elif kind in ("open", "close") and m[0] in "[]{}" and run:
             pass
@@ -132,29 +155,40 @@ def layout(text: str, hash_comments: bool) -> dict:
             names += 1
         elif kind == "open":
             depth += m[0] == "("
-            canonical += m[0] == "{"
+            if m[0] == "{":
+                close()
         elif kind == "close":
             depth -= m[0] == ")"
-            canonical += m[0] == "}"
+            if m[0] == "}":
+                close()
         elif kind == "end" and depth <= 0:
-            canonical += 1
-    return {"tokens": tokens, "canonical": canonical + 1, "lines": lines + 1, "literal": literal, "largest": max(largest, run), "longest_string": string_run, "names": names}
-
-
-#: Minified: the canonical form has so many times the lines, and the lines are so long on average.
-EXPANSION, MEAN_LINE = 3.0, 120
+            close()
+    close()
+    own = ["".join(x.split()) for x in text.split("\n") if x.strip() and not COMMENT_LINE.match(x)]
+    same = Counter("".join(x.split()) for x in canonical) & Counter(own)
+    return {
+        "tokens": tokens,
+        "canonical": len(canonical),
+        "lines": len(own),
+        "mean": sum(map(len, own)) / max(len(own), 1),
+        "uniform": sum(same.values()) / max(len(own), 1),
+        "spaces": spaces / max(tokens, 1),
+        "literal": literal,
+        "largest": max(largest, run),
+        "longest": longest,
+        "names": names,
+    }
+
+
+#: Minified: the canonical form has so many times the lines, the lines are so long on average, and no more than so many
+#: tokens have a space before them.
+EXPANSION, MEAN_LINE, SPACES = 3.0, 100, 0.3
 #: Stored data: so large, so large a part of the text in one literal, and a name only every so many characters.
 DATA_SIZE, DATA_SHARE, DATA_NAMES = 2000, 0.6, 60
 
 
-def minified(text: str, hash_comments: bool, facts: dict) -> bool:
-    if hash_comments or facts["tokens"] < 60:
-        return False
-    code_lines = [x for x in text.split("\n") if x.strip() and not COMMENT_LINE.match(x)]
-    if not code_lines:
-        return False
-    mean = sum(map(len, code_lines)) / len(code_lines)
-    return facts["canonical"] / len(code_lines) >= EXPANSION and mean >= MEAN_LINE
+def minified(facts: dict) -> bool:
+    return facts["canonical"] >= EXPANSION * max(facts["lines"], 1) and facts["mean"] >= MEAN_LINE and facts["spaces"] <= SPACES
 
 
 def stored_data(text: str, facts: dict) -> bool:
@@ -162,10 +196,7 @@ def stored_data(text: str, facts: dict) -> bool:
     return size >= DATA_SIZE and facts["largest"] >= DATA_SHARE * size * 0.6 and (facts["literal"] >= DATA_SHARE * size or facts["largest"] >= 0.45 * size) and facts["names"] * DATA_NAMES <= size
 
 
-CODE = {"python", "typescript", "tsx", "javascript", "jsx"}
-
-
-def why(path: str | None, language: str | None, text: str | None, owner: str = OWNER) -> str | None:
+def why(path: str | None, language: str | None, text: str | None, owner: str) -> str | None:
     """third_party, generated, minified, data, or None for hand-written."""
     path = path or ""
     if re.search(VENDORED, path):
@@ -180,20 +211,17 @@ def why(path: str | None, language: str | None, text: str | None, owner: str = O
         return "generated"
     if foreign_notice(head, owner):
         return "third_party"
-    hash_comments = language not in CODE or language == "python"
-    if language in CODE:
-        facts = layout(text, hash_comments)
-        if stored_data(text, facts):
-            return "data"
-        if minified(text, hash_comments, facts):
-            return "minified"
-    return "minified" if re.search(MINIFIED_NAMES, path) else None
+    ending = path.rsplit(".", 1)[-1].lower()
+    facts = layout(text, language == "python" or ending in HASH_COMMENTS, ending in KEYED)
+    if stored_data(text, facts):
+        return "data"
+    return "minified" if minified(facts) or re.search(MINIFIED_NAMES, path) else None
 
 
 # --- operators -------------------------------------------------------------------------------
 
 
-def judged(files: DataFrame, blobs: DataFrame, owner: str = OWNER) -> DataFrame:
+def judged(files: DataFrame, blobs: DataFrame, owner: str) -> DataFrame:
     """(file_id, path, language, reason, same): one row per file; same is the hash of its text, line ends and byte order mark aside."""
 
     @F.pandas_udf("string")
@@ -203,7 +231,7 @@ def judged(files: DataFrame, blobs: DataFrame, owner: str = OWNER) -> DataFrame:
     newest = files.where("id is not null").groupBy(F.col("id").alias("file_id")).agg(F.max(F.struct("updated_at", "path", "language")).alias("f"))
     newest = newest.select("file_id", "f.path", "f.language")
     text = blobs.where("file_id is not null").select("file_id", "content")
-    plain = F.regexp_replace(F.regexp_replace("content", "^﻿", ""), "\r\n", "\n")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", "^﻿", ""), "\r\n?", "\n"), "\n+$", "")
     return (
         newest.join(text, "file_id", "full")
         .select("file_id", "path", "language", reason("path", "language", "content").alias("reason"), F.when(F.trim(F.coalesce(plain, F.lit(""))) != "", F.sha2(plain, 256)).alias("same"))
@@ -211,11 +239,13 @@ def judged(files: DataFrame, blobs: DataFrame, owner: str = OWNER) -> DataFrame:
     )
 
 
-def not_handwritten(files: DataFrame, blobs: DataFrame, owner: str = OWNER) -> DataFrame:
+def not_handwritten(files: DataFrame, blobs: DataFrame, owner: str) -> DataFrame:
     """(file_id, reason) of the files that nobody wrote by hand.
 
     Only texts of third-party copies spread to equal files, by a join on the hash: one row per
-    distinct text, however many copies it has."""
-    all_ = judged(files, blobs, owner)
-    copied = all_.where("reason = 'third_party' and same is not null").select("same").distinct().withColumn("copied", F.lit(True))
-    return all_.join(copied, "same", "left").select("file_id", F.coalesce("reason", F.when(F.col("copied"), F.lit("third_party"))).alias("reason")).where("reason is not null")
+    distinct text, however many copies it has. Of the other rows only those with a text take part, and
+    no text moves."""
+    all_ = cut(judged(files, blobs, owner))
+    copied = all_.where("reason = 'third_party' and same is not null").select("same").distinct()
+    copies = all_.where("reason is null and same is not null").join(copied, "same", "left_semi").select("file_id", F.lit("third_party").alias("reason"))
+    return all_.where("reason is not null").select("file_id", "reason").unionByName(copies)

@@ -102,3 +102,29 @@ def test_long_lines_take_no_longer_in_square():
     began = time.process_time()
     c.found("token = [" + ", ".join(f'f({i}, "{"a" * 200}")' for i in range(20_000)) + "]", "javascript")
     assert time.process_time() - began < 30
+
+
+KEY = "q8Zr2LmX7vTk4WpB9sNd"
+
+
+def test_code_is_lexed_with_state():
+    many = ", ".join(f"'a{i}'" for i in range(200))
+    cases = {
+        f'api_key = """\n    {KEY}\n"""\n': [2],
+        f"x = 1  # don't say 'so\ntoken = '{KEY}'\n": [2],
+        f"token = '{KEY[:10]}\\\n{KEY[10:]}'\n": [1, 2],
+        f"connect({many}, password='{KEY}')\n": [1],
+        f"conf = dict(note='''it's\n\"open''', api_key='{KEY}')\n": [2],
+        "very_" * 60 + f"long_api_key = (\n    '{KEY}')\n": [2],
+    }
+    for text, want in cases.items():
+        assert [no for no, _ in c.found(text, "python")] == want, text
+    script = {
+        f"const apiKey = `\n{KEY}\n`;\n": [2],
+        f"// isn't it\nconst apiKey = '{KEY}';\n": [2],
+        f"const r = /['\"`]/; const apiKey = '{KEY}';\n": [1],
+        f"/* don't\n use */ const apiKey = '{KEY}';\n": [2],
+    }
+    for text, want in script.items():
+        assert [no for no, _ in c.found(text, "javascript")] == want, text
+    assert c.redact(f"token = '{KEY[:10]}\\\n{KEY[10:]}'\n", "python") == "token = 'REDACTED\\\nREDACTED'\n"

@@ -31,7 +31,7 @@ DATA = "export const TABLE = [\n" + "  0.6967, 0.9107, 0.1250,\n" * 200 + "];\n"
     ],
 )
 def test_why(path, text, want):
-    assert h.why(path, "javascript", text) == want
+    assert h.why(path, "javascript", text, "meridian") == want
 
 
 def test_copies_and_edge_rows(spark):
@@ -40,6 +40,28 @@ def test_copies_and_edge_rows(spark):
         "id long, path string, language string, updated_at long",
     )
     blobs = spark.createDataFrame([(1, CODE), (2, "\ufeff" + CODE.replace("\n", "\r\n")), (3, CODE + "//"), (4, None), (9, "x")], "file_id long, content string")
-    got = sorted((r.file_id, r.reason) for r in h.not_handwritten(files, blobs).collect())
+    got = sorted((r.file_id, r.reason) for r in h.not_handwritten(files, blobs, "meridian").collect())
     assert got == [(1, "third_party"), (2, "third_party"), (5, "third_party")]
-    assert h.not_handwritten(files.limit(0), blobs.limit(0)).count() == 0
+    assert h.not_handwritten(files.limit(0), blobs.limit(0), "meridian").count() == 0
+
+
+def test_any_language_and_any_place_in_the_head():
+    css = "".join(f".a{i}{{color:#fff;margin:0 auto;padding:{i}px}}" for i in range(40))
+    assert h.why("a/site.css", "unknown", css, "meridian") == "minified"
+    assert h.why("a/site.css", "unknown", css.replace("{", " {\n  ").replace(";", ";\n  ").replace("}", "\n}\n"), "meridian") is None
+    numbers = "[" + ", ".join(str(i * 37 % 1009) for i in range(6000)) + "]"
+    assert h.why("a/points.json", "unknown", numbers, "meridian") == h.why("a/points.js", "javascript", "export default " + numbers, "meridian") == "data"
+    settings = "{\n" + ",\n".join(f'  "key_{i}": "value {i}"' for i in range(300)) + "\n}\n"
+    assert h.why("a/settings.json", "unknown", settings, "meridian") is None
+    for n in (3, 50, 70, 500):
+        assert h.why("a/b.go", "unknown", "// about\n" * n + "// Code generated by foo. DO NOT EDIT.\nx := 1\n", "meridian") == "generated"
+    short = "let a=1;function f(b){return b?a+b:a*b};const g=(x)=>{for(;;){if(x)return f(x);x--}};export{f,g};f(1);g(2);f(3);g(4);"
+    assert h.why("a/b.js", "javascript", short, "meridian") == "minified"
+    assert h.why("a/b.js", "javascript", "import { " + ", ".join(f"Thing{i}" for i in range(20)) + ' } from "./things";\n', "meridian") is None
+
+
+def test_copies_differ_only_in_line_ends_and_mark(spark):
+    text = "const a = 1;\nexport default a;\n"
+    files = spark.createDataFrame([(1, "x/vendor/a.js"), (2, "src/a.js"), (3, "src/b.js"), (4, "src/c.js"), (5, "src/d.js")], "id long, path string").selectExpr("*", "'javascript' as language", "1L as updated_at", "'x' as content")
+    blobs = spark.createDataFrame([(1, text), (2, "﻿" + text.replace("\n", "\r\n")), (3, text.rstrip()), (4, text.replace("1", "2")), (5, None)], "file_id long, content string")
+    assert sorted(tuple(r) for r in h.not_handwritten(files, blobs, "me").collect()) == [(1, "third_party"), (2, "third_party"), (3, "third_party")]
