@@ -115,7 +115,7 @@ EMPTY_WORDS = frozenset(
     implement implemented does thing things stuff work works logic code new current specified provided relevant respective corresponding appropriate
     описание заглушка метод функция параметр параметры возвращает значение нет пусто написать документация документировать для и в на по из с к у о от""".split()
 )
-#: Verbs that restate a verb of a name.
+#: Verbs that say the same: a docstring's verb restates any of its line in the name.
 VERBS = [
     "get fetch load read retrieve obtain find lookup look query return give",
     "set assign put store save write update change modify",
@@ -139,8 +139,6 @@ VERBS = [
     "group bucket collect",
     "run execute start",
 ]
-#: Words of behaviour and limits: one of them is news enough by itself, if the name does not have it.
-BEHAVIOUR = frozenset("ignore skip clamp round sort fail throw raise cache retry reject drop discard block truncate wrap null cent utc idempotent oldest newest ascending descending".split())
 WORD = re.compile(r"[^\W_]+")
 SUBTOKEN = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_a-zA-Z]+")
 
@@ -164,7 +162,6 @@ def stem(word: str) -> str:
 
 
 EMPTY_STEMS = frozenset(stem(w) for w in EMPTY_WORDS) | EMPTY_WORDS
-BEHAVIOUR_STEMS = frozenset(stem(w) for w in BEHAVIOUR)
 VERB_GROUPS: dict[str, set[str]] = {}
 for _group in VERBS:
     for _w in _group.split():
@@ -186,11 +183,12 @@ def said(*names: str | None) -> set[str]:
 def news(text: str, known: set[str]) -> list[str]:
     """The words of `text` that neither the known stems nor empty words cover."""
     out = []
-    for w in WORD.findall(text):
+    for k, w in enumerate(WORD.findall(text)):
         for part in SUBTOKEN.findall(w) or [w]:
             s = stem(part)
             if (len(part) > 1 or part.isdigit()) and s not in EMPTY_STEMS and part.lower() not in EMPTY_STEMS and s not in known:
-                out += [s] * (2 if s in BEHAVIOUR_STEMS else 1)
+                # what an island begins with is what is done: a verb that the name has no word for is news by itself
+                out += [s] * (2 if not k and s not in VERB_GROUPS else 1)
     return out
 
 
@@ -250,14 +248,16 @@ def body_end(lines: list[str], start: int, language: str) -> int:
     return start + text.count("\n", 0, min(at, len(text)))
 
 
-def code_of(content: str | None, language: str | None, signature: str | None, first: int | None, last: int | None) -> str | None:
+def lines_of(content: str | None) -> list[str]:
+    return (content or "").lstrip("\ufeff").replace("\r\n", "\n").split("\n")
+
+
+def code_of(lines: list[str], language: str | None, signature: str | None, first: int | None) -> str | None:
     """The code of a symbol: from its signature line to the end of its balanced body.
 
-    `first` and `last` (from 1) may be off; the signature is searched for near them. None if the
-    file does not hold it."""
-    if not content or not signature or not signature.strip():
+    `first` (from 1) may be off; the signature is searched for near it. None if the file does not hold it."""
+    if not signature or not signature.strip():
         return None
-    lines = content.lstrip("\ufeff").replace("\r\n", "\n").split("\n")
     head = signature.strip().split("\n")[0].strip()
     at = [i for i, x in enumerate(lines) if head in x]
     if not at:
@@ -287,22 +287,33 @@ def documented(symbols: DataFrame) -> DataFrame:
     return rows.where(informative("docstring", "name", "qualified_name", "signature")).dropDuplicates(["id"])
 
 
+#: Functions of one file that are cut out of its text together.
+TOGETHER = 200
+
+
 def pairs(symbols: DataFrame, files: DataFrame, blobs: DataFrame) -> DataFrame:
     """(symbol_id, qualified_name, signature, description, code) of every documented function; code is
-    null where the file or the signature in it is missing."""
-    path = files.where("id is not null").groupBy("id").agg(F.max(F.struct("updated_at", "language")).getField("language").alias("language"))
-
-    @F.pandas_udf("string")
-    def code(content: pd.Series, language: pd.Series, signature: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
-        return pd.Series([code_of(c, g, s, None if pd.isna(a) else int(a), None if pd.isna(b) else int(b)) for c, g, s, a, b in zip(content, language, signature, first, last, strict=True)], dtype=object)
-
-    @F.pandas_udf("string")
-    def description(doc: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(t.strip() for _, t in doc_islands(d) if t.strip()) for d in doc], dtype=object)
-
-    text = blobs.select("file_id", "content").join(path.withColumnRenamed("id", "file_id"), "file_id", "left")
-    return (
-        documented(symbols)
-        .join(text, "file_id", "left")
-        .select(F.col("id").alias("symbol_id"), "qualified_name", "signature", description("docstring").alias("description"), code("content", "language", "signature", "start_line", "end_line").alias("code"))
-    )
+    null where the file or the signature in it is missing.
+
+    The functions of a file meet its text as one row (of up to about TOGETHER functions), so that a text moves
+    once and is cut into lines once."""
+    language = files.where("id is not null").groupBy(F.col("id").alias("file_id")).agg(F.max(F.struct("updated_at", "language")).getField("language").alias("language"))
+    text = blobs.where("file_id is not null").groupBy("file_id").agg(F.max("content").alias("content")).join(language, "file_id", "left")
+    found = documented(symbols)
+    parts = found.where("file_id is not null").groupBy("file_id").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    dealt = found.join(parts, "file_id", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(64))))
+    rows = dealt.groupBy("file_id", "part").agg(F.collect_list(F.struct("id", "qualified_name", "signature", "docstring", "start_line")).alias("functions"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for content, lang, functions in zip(b["content"], b["language"], b["functions"], strict=True):
+                lines = lines_of(content)
+                for f in functions:
+                    description = "\n".join(t.strip() for _, t in doc_islands(f["docstring"]) if t.strip())
+                    first = f["start_line"]
+                    out.append((f["id"], f["qualified_name"], f["signature"], description, code_of(lines, lang, f["signature"], None if pd.isna(first) else int(first))))
+            yield pd.DataFrame(out, columns=["symbol_id", "qualified_name", "signature", "description", "code"])
+
+    schema = "symbol_id long, qualified_name string, signature string, description string, code string"
+    return rows.join(text, "file_id", "left").select("functions", "content", "language").mapInPandas(run, schema)

@@ -15,9 +15,8 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and tokens of the corpus per source."""
-    docs = read_table(spark, sf, "documents")
-    n = tokens.encode_column(docs, "doc_id", "text").select("doc_id", F.size("ids").alias("n"))
-    return docs.select("doc_id", "source").join(n, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"))
+    n = tokens.encode_column(read_table(spark, sf, "documents"), "source", "text")
+    return n.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.size("ids")).alias("tokens"))
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_totals": p7_totals}

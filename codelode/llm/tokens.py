@@ -94,8 +94,8 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
-    """(key, ids): the ids of every row's text. The vocabulary file must lie at the same path
-    on every executor."""
+    """(key, ids): the ids of every row's text; key may be any column that is to be kept. The vocabulary
+    file must lie at the same path on every executor."""
     file = vocabulary_path(path)
     kind = df.schema[key].dataType
 

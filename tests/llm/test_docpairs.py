@@ -62,4 +62,4 @@ def test_rows(spark):
 
 def test_balanced_body():
     js = "// a\nfunction loadDepot(x) {\n  const s = '}'; /* } */\n  return `}`;\n}\nfunction b() {}\n"
-    assert d.code_of(js, "javascript", "function loadDepot(x)", 2, 9) == "\n".join(js.split("\n")[1:5])
+    assert d.code_of(d.lines_of(js), "javascript", "function loadDepot(x)", 2) == "\n".join(js.split("\n")[1:5])
