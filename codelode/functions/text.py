@@ -66,14 +66,17 @@ def note_title(text: Column, path: Column) -> Column:
     return F.coalesce(heading(text), F.when(front != "", F.left(front, F.lit(120))), F.left(name, F.lit(120)))
 
 
-#: First words of paths that are prose (fixed values of this library).
-NOT_REFS = ("and/or", "either/or", "true/false", "yes/no", "input/output", "read/write", "client/server", "on/off")
+#: File extensions that references have, and frameworks whose names look like files (fixed values).
+CODE_EXTENSIONS = "tsx|ts|jsx|mjs|cjs|js|py"
+NOT_REFS = ("next.js", "node.js", "nest.js", "vue.js", "three.js", "express.js", "react.js", "nuxt.js")
 
 
 def code_refs(text: Column) -> Column:
-    """Paths of code files named in a text, each once, in order (FN-7)."""
-    found = F.regexp_extract_all(text, F.lit(r"((?:[\w.@-]+/)*[A-Za-z0-9][\w.-]*\.(?:tsx?|jsx?|mjs|cjs|pyi?|sql|md))(?![\w/])"), 1)
-    return F.array_distinct(F.filter(found, lambda r: (F.length(F.substring_index(r, "/", -1)) >= 5) & ~F.lower(r).isin(*NOT_REFS)))
+    """Code files named in a text, with or without folders, each once, in order (FN-7).
+
+    A leading dot belongs to a reference only as that of a folder; the file name begins with a letter or figure."""
+    found = F.regexp_extract_all(text, F.lit(rf"((?:\.[A-Za-z0-9][A-Za-z0-9_@\-]*/)?[A-Za-z0-9_@][A-Za-z0-9_@.\-/]*\.(?:{CODE_EXTENSIONS}))(?![A-Za-z0-9])"), 1)
+    return F.array_distinct(F.filter(found, lambda r: F.substring_index(r, "/", -1).rlike("^[A-Za-z0-9]") & (F.length(r) >= 5) & ~F.lower(r).isin(*NOT_REFS)))
 
 
 def query_terms(text: Column) -> Column:
@@ -90,7 +93,7 @@ def snippet(body: Column, task: Column, size: int = 480, lead: int = 80) -> Colu
     """A window of the body around the first word of the task that it holds (FN-8)."""
     flat = F.trim(F.regexp_replace(body, r"\s+", " "))
     terms = F.slice(F.filter(F.transform(query_terms(task), lambda t: F.lower(t)), lambda t: F.length(t) >= 3), 1, 12)
-    at = F.array_min(F.filter(F.transform(terms, lambda t: F.locate_in(F.lower(flat), t) if hasattr(F, "locate_in") else F.instr(F.lower(flat), t)), lambda p: p > 0))
+    at = F.array_min(F.filter(F.transform(terms, lambda t: F.instr(F.lower(flat), t)), lambda p: p > 0))
     start = F.greatest(F.coalesce(at, F.lit(1)) - lead, F.lit(1))
     return F.concat(F.when(start > 1, "…").otherwise(""), F.substring(flat, start, F.lit(size)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,23 +106,10 @@ def file_routes(path: str, exported: list[str]) -> list[tuple[str, str]]:
 def routes(files: DataFrame, exported: DataFrame) -> DataFrame:
     """(file_id, method, address) by place; exported has file_id and names."""
 
-    @F.udf("array<struct<method:string,address:string>>")
-    def of(path, names):
-        return file_routes(path or "", list(names or []))
+    @F.pandas_udf("array<struct<method:string,address:string>>")
+    def of(path: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([[{"method": m, "address": a} for m, a in file_routes(p or "", list(n) if n is not None else [])] for p, n in zip(path, names, strict=True)], dtype=object)
 
     # only files in such folders reach the Python helper
     near = files.where(F.col("path").rlike(r"(^|/)app/(.*/)?(page|route)\.[tj]sx?$|(^|/)app/routes/"))
     return near.select(F.col("id").alias("file_id"), "path").join(exported, "file_id", "left").select("file_id", F.explode(of("path", "names")).alias("r")).select("file_id", "r.method", "r.address")
-
-
-#: First match of a file name gives its role (own list).
-ROLES = [("test", r"(^test_|[._-](test|spec)\.|_test\.)"), ("types", r"types|interfaces|\.d\.ts$"), ("config", r"config|settings|\.(ini|toml|ya?ml|json|env|properties|lock)$"), ("fetcher", r"fetch|load|read|get"), ("checker", r"check|validate|verify"), ("builder", r"build|create|make|compute|estimate"), ("writer", r"write|save|export|publish|notify|archive"), ("merger", r"merge|group|join|match|sync"), ("script", r"\.(sh|mjs)$")]
-
-
-def role_of(path: Column) -> Column:
-    """The role that a file's name suggests (FN-16)."""
-    name = F.lower(F.substring_index(path, "/", -1))
-    out = None
-    for role, pattern in ROLES:
-        out = F.when(name.rlike(pattern), role) if out is None else out.when(name.rlike(pattern), role)
-    return out.otherwise("file")

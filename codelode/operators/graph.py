@@ -94,6 +94,19 @@ def resolve_names(references: DataFrame, symbols: DataFrame, first: int = 5) ->
     return references.join(top.select("name", "target_id", "candidates"), "name").withColumn("confidence", F.when(F.col("candidates") == 1, 0.7).otherwise(0.4))
 
 
+def resolve_calls(references: DataFrame, symbols: DataFrame, imported: DataFrame, first: int = 5) -> DataFrame:
+    """(caller_id, name, target_id, confidence) of named calls (caller_id, name): the first five targets of the name,
+    0.85 where the caller's file imports the target's; the caller itself is left out after the cut (JN-7).
+
+    imported has (file_id, target_file), each pair once."""
+    place = symbols.groupBy("id").agg(F.min("file_id").alias("file_id"))
+    one = symbols.select("id", "name", "kind").distinct()
+    found = resolve_names(references, one, first).where("caller_id != target_id")
+    found = found.join(place.select(F.col("id").alias("caller_id"), "file_id"), "caller_id").join(place.select(F.col("id").alias("target_id"), F.col("file_id").alias("target_file")), "target_id")
+    known = imported.withColumn("known", F.lit(True))
+    return found.join(known, ["file_id", "target_file"], "left").withColumn("confidence", F.when(F.col("known"), 0.85).otherwise(F.col("confidence")))
+
+
 def suffixes(files: DataFrame) -> DataFrame:
     """Every '/'-suffix of every path, so that a suffix match is an equi-join (JN-10)."""
     seg = F.split("path", "/")

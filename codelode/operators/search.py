@@ -12,9 +12,14 @@ from codelode.session import cut
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+#: Latin letters with marks and the letters they fold to (fixed values); Cyrillic letters keep theirs.
+MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
+FOLDED = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower case; '_' separates (FN-3)."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Runs of letters and digits, lower case, Latin letters without their marks; '_' separates (FN-3)."""
+    return F.filter(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, FOLDED), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:

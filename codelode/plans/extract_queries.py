@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from codelode.functions import notes
 from codelode.operators import extract as x
 from codelode.operators import graph as g
 from codelode.operators import search
@@ -58,21 +59,34 @@ def imports(f, blobs):
     return e.groupBy("file_id").agg(F.count("*").alias("imports"), F.countDistinct("spec").alias("targets"))
 
 
-ROLE = "case " + " ".join(f"when regexp_matches(lower(split_part(path, '/', -1)), '{p}') then '{r}'" for r, p in x.ROLES) + " else 'file' end"
+#: The roles again, as SQL (fixed values).
+WIKI_ROLE = """case when contains(lower(path), '.service.') then 'service' when contains(lower(path), '.controller.') then 'HTTP controller' when contains(lower(path), '.worker.') then 'worker' when contains(lower(path), '.cron.') then 'cron job'
+when contains(lower(path), '.dto.') then 'DTO' when contains(lower(path), '.module.') then 'module' when contains(lower(path), '.guard.') then 'guard' when regexp_matches(lower(path), '\\.(tsx|jsx)$') then 'UI component'
+when regexp_matches(lower(path), '(^|/)(index|main|app|server|cli)\\.[a-z]+$') then 'entry point' else 'file' end"""
+BASE = "lower(split_part(path, '/', -1))"
+CARD_ROLE = f"""case when contains({BASE}, '.service.') then 'service' when contains({BASE}, '.controller.') then 'HTTP controller (routes)' when contains({BASE}, '.worker.') then 'background worker' when contains({BASE}, '.cron.') then 'scheduled job (cron)'
+when contains({BASE}, '.dto.') then 'data shapes (DTO)' when contains({BASE}, '.module.') then 'DI module' when contains({BASE}, '.guard.') then 'access guard' when contains({BASE}, '.resolver.') then 'resolver'
+when regexp_matches(path, '(^|/)(index|main|app|server|cli)\\.[a-z]+$') then 'entry point' else 'module' end"""
 
 
-@query("fn16_roles", "f", f"select id, {ROLE} as role from f")
+@query("fn16_roles", "f", f"select id, {CARD_ROLE} as card_role, {WIKI_ROLE} as wiki_role from f")
 def roles(f):
-    return f.select("id", x.role_of(F.col("path")).alias("role"))
+    return f.select("id", notes.card_role(F.col("path")).alias("card_role"), notes.wiki_role(F.col("path")).alias("wiki_role"))
 
 
-@query("agg19_module_roles", "f", MODULES + f", r as (select mods.module, {ROLE} as role, count(*) as files from mods group by 1, 2) select module, role, files from r qualify row_number() over (partition by module order by files desc, role) = 1")
+@query("agg19_module_roles", "f", MODULES + f", r as (select mods.module, {WIKI_ROLE} as role, count(*) as files from mods group by 1, 2) select module, role, files from r qualify row_number() over (partition by module order by files desc, role) = 1")
 def module_roles(f):
     """The dominant role of each module (AGG-19)."""
-    n = f.select(g.module_of(F.col("path")).alias("module"), x.role_of(F.col("path")).alias("role")).groupBy("module", "role").agg(F.count("*").alias("files"))
+    n = f.select(g.module_of(F.col("path")).alias("module"), notes.wiki_role(F.col("path")).alias("role")).groupBy("module", "role").agg(F.count("*").alias("files"))
     return n.groupBy("module").agg(F.min(F.struct((-F.col("files")).alias("k"), "role")).alias("b")).select("module", "b.role", (-F.col("b.k")).alias("files"))
 
 
+@query("x6_file_routes", "f s", "")
+def file_routes(f, s):
+    """Routes by the place of files and the names that they export (X-6)."""
+    return x.routes(f, s.where("exported").groupBy("file_id").agg(F.collect_set("name").alias("names")))
+
+
 @query(
     "agg20_module_notes", "f e m",
     MODULES + """, d as (select e.source_id as memory_id, e.target_id as file_id from e where edge_type = 'documents' and source_type = 'memory' and target_type = 'file'),

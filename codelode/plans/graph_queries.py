@@ -250,13 +250,6 @@ def signatures(e, s):
     return s.where("signature is not null").join(n, "id", "left").groupBy("signature").agg(F.count("*").alias("symbols"), F.coalesce(F.max("n"), F.lit(0)).alias("callers"), F.min("docstring").alias("doc"))
 
 
-@query("set3_unlinked_files", "fe", "select id, path from f where id not in (select target_id from e where target_type = 'file' and target_id is not null) and id not in (select source_id from e where source_type = 'file' and source_id is not null)")
-def unlinked_files(f, e):
-    """Files that no edge touches: a set difference (SET-3, JN-16)."""
-    seen = e.where("target_type = 'file'").select(F.col("target_id").alias("id")).unionByName(e.where("source_type = 'file'").select(F.col("source_id").alias("id"))).distinct()
-    return f.join(seen, "id", "left_anti").select("id", "path")
-
-
 @query("agg16_run_counters", "f", "select count(*) as files_total, count(*) filter (where parse_status <> 'ok') as parse_errors, count(*) filter (where is_test) as tests, count(*) filter (where has_secrets) as with_secrets, sum(lines_count) as lines, sum(size_bytes) as bytes from f")
 def run_counters(f):
     flag = lambda c: F.sum(F.when(c, 1).otherwise(0))

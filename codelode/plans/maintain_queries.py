@@ -47,11 +47,6 @@ def upsert_files(files, f):
     return mt.upsert(first, f, ["path"], ["id", "created_at"]).select("path", "id", "created_at", "hash", "updated_at")
 
 
-@query("snk3_upsert_vectors", "symbol_vectors", "select symbol_id, model_id, max(updated_at) as updated_at, count(*) - 1 as superseded from symbol_vectors group by 1, 2")
-def upsert_vectors(vectors):
-    return vectors.groupBy("symbol_id", "model_id").agg(F.max("updated_at").alias("updated_at"), (F.count("*") - 1).alias("superseded"))
-
-
 CHANGED = "changed as (select id as file_id from files group by id having count(distinct hash) > 1)"
 
 
@@ -116,10 +111,13 @@ def manifest(f, s, e, m):
 FORMS = "A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|glpat-[\\w-]{18,}|xox[abeprs]-[\\w-]{12,}|-----BEGIN [A-Z ]*PRIVATE KEY"
 
 
-@query("snk11_gate", "s m f", f" select 'symbols' as table_name, id from s where regexp_matches(concat_ws(' ', signature, docstring), '{FORMS}') union all select 'memories', id from m where regexp_matches(concat_ws(' ', title, body), '{FORMS}') union all select 'files', id from f where regexp_matches(path, '{FORMS}')")
+@query("snk11_gate", "s m f", f" select 'symbols' as table_name, count(*) as looked_at, count(*) filter (where regexp_matches(concat_ws(' ', signature, docstring), '{FORMS}')) as leaking from s union all select 'memories', count(*), count(*) filter (where regexp_matches(concat_ws(' ', title, body), '{FORMS}')) from m union all select 'files', count(*), count(*) filter (where regexp_matches(path, '{FORMS}')) from f")
 def gate(s, m, f):
-    """Rows that would stop the packing of the graph."""
-    return mt.leaking(s, m, f)
+    """How many rows of each table were looked at, and how many would stop the packing of the graph (SNK-11)."""
+    bad = mt.leaking(s, m, f).groupBy("table_name").agg(F.count("*").alias("leaking"))
+    n = lambda df, name: df.agg(F.lit(name).alias("table_name"), F.count("*").alias("looked_at"))
+    all_ = n(s, "symbols").unionByName(n(m, "memories")).unionByName(n(f, "files"))
+    return all_.join(F.broadcast(bad), "table_name", "left").select("table_name", "looked_at", F.coalesce("leaking", F.lit(0)).alias("leaking"))
 
 
 @query("src7_history", "files", "select path, max(last_modified) as last_ms, count(distinct case when last_modified >= (select max(last_modified) from files) - 90 * 86400000::bigint then git_last_commit end) as churn from files group by path")

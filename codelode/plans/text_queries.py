@@ -29,19 +29,22 @@ def query(name: str, tables: str, sql: str):
     return add
 
 
-SUB = "list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}}+)(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), ' '), lambda w: length(w) >= 2), lambda w: lower(w)))"
+SUB = "list_transform(list_filter(list_transform(range(1, len({y}) + 1), lambda i: {{{{'w': {y}[i], 'first': list_position({y}, {y}[i]) = i}}}}), lambda z: z.first), lambda z: z.w)".format(y="list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}}+)(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), ' '), lambda w: length(w) >= 2), lambda w: lower(w))")
+
+
+TOK = "list_filter(regexp_split_to_array(translate(lower({x}), '" + search.MARKED + "', '" + search.FOLDED + "'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
 def sub(x: str) -> str:
     return SUB.format(x=x)
 
 
-@query("fn1_subtokens", "s", "select id, array_to_string(list_sort(" + sub("name || ' ' || qualified_name") + "), ' ') as search_terms from s")
+@query("fn1_subtokens", "s", "select id, array_to_string(" + sub("name || ' ' || qualified_name") + ", ' ') as search_terms from s")
 def subtokens(s):
-    return s.select("id", F.array_join(F.array_sort(t.subtokenize(F.col("name"), F.col("qualified_name"))), " ").alias("search_terms"))
+    return s.select("id", F.array_join(t.subtokenize(F.col("name"), F.col("qualified_name")), " ").alias("search_terms"))
 
 
-@query("fn3_terms", "m", "select w as term, count(*) as n, count(distinct id) as df from (select id, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || body), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) as w from m) group by 1")
+@query("fn3_terms", "m", "select w as term, count(*) as n, count(distinct id) as df from (select id, unnest(" + TOK.format(x="title || ' ' || body") + ") as w from m) group by 1")
 def terms(m):
     """The vocabulary of the notes with document frequencies (FN-3, AGG-10)."""
     each = m.select("id", F.explode(search.tokens(F.concat_ws(" ", "title", "body"))).alias("term"))
@@ -58,12 +61,6 @@ def tests(f):
     return f.where(t.is_test_path(F.col("path"))).select("id", "path", "is_test")
 
 
-@query("flt10_changed_files", "files", "select path, count(distinct hash) as versions, max(updated_at) as last from files group by path having count(distinct hash) > 1")
-def changed_files(files):
-    """Paths whose content hash changed between versions (FLT-10)."""
-    return files.groupBy("path").agg(F.countDistinct("hash").alias("versions"), F.max("updated_at").alias("last")).where("versions > 1")
-
-
 @query("flt14_languages_of_tasks", "eval_tasks", "select task_id, regexp_matches(task, '[а-яА-ЯёЁ]') and not regexp_matches(task, '[A-Za-z]{3}') as cyrillic_only from eval_tasks")
 def languages_of_tasks(tasks):
     return tasks.select("task_id", t.asks_in_cyrillic(F.col("task")).alias("cyrillic_only"))
@@ -96,7 +93,6 @@ def section_weights(m):
     return m.select("id", t.section_weight(F.col("tags")).alias("weight"))
 
 
-TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 BM = """, d as (select id, {tok} as t from {src}), p as (select id, len(t) as dl, unnest(t) as term from d), tf as (select id, dl, term, count(*) as tf from p group by 1, 2, 3),
 n as (select count(*) as n, avg(len(t)) as avgdl from d), df as (select term, count(*) as df from tf group by 1),
 q as (select task_id as query_id, term, count(*) as qtf from (select task_id, unnest({qtok}) as term from eval_tasks) group by 1, 2),

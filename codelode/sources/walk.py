@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelode.functions import notes as n
 from codelode.functions import text as t
 
 #: Files above this size are skipped.
@@ -16,22 +16,47 @@ MAX_BYTES = 512 * 1024
 IGNORED_DIRS = (".git", "node_modules", "__pycache__", ".venv", "dist", "build", "coverage", ".cache")
 
 
-def ignore_pattern(rules: list[str]) -> str:
-    """One regular expression for gitignore-like rules over paths relative to the root (SRC-3).
+def _glob(rule: str) -> str:
+    """One gitignore-like glob as a regular expression: '**' spans folders, '*' and '?' do not."""
+    out, i = "", 0
+    while i < len(rule):
+        if rule.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif rule.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif rule[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif rule[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif rule[i] == "[" and (end := rule.find("]", i + 2)) > 0:
+            inner = rule[i + 1 : end]
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner).replace("\\", "\\\\") + "]", end + 1
+        else:
+            out, i = out + re.escape(rule[i]), i + 1
+    return out
+
+
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether gitignore-like rules leave out a path relative to the root (SRC-3): the last rule that fits decides, '!'
+    takes a file in again, but not out of a folder that is left out.
 
     A rule with a slash inside, or in front, is anchored; one with a slash behind means folders; a file
     in an ignored folder is ignored."""
-    parts = []
+    out, folders = F.lit(False), F.lit(False)
     for rule in rules:
         r = rule.strip()
         if not r or r.startswith("#"):
             continue
+        keep, r = r.startswith("!"), r.removeprefix("!")
         folder, r = r.endswith("/"), r.rstrip("/")
-        anchored = "/" in r
-        body = re.sub(r"\\Z$|\\z$", "", fnmatch.translate(r.lstrip("/"))).removeprefix("(?s:").removesuffix(")")
-        body = body.replace(".*", "[^/]*")
-        parts.append(("^" if anchored else "(?:^|.*/)") + body + ("/.*" if folder else "(?:/.*)?") + "$")
-    return "|".join(parts) or r"(?!)"
+        head = ("^" if "/" in r else "(?:^|.*/)") + _glob(r.lstrip("/"))
+        if keep:
+            out = F.when(path.rlike(head + "$"), False).otherwise(out)
+            continue
+        folders = folders | path.rlike(head + "/.*$")
+        if not folder:
+            out = F.when(path.rlike(head + "$"), True).otherwise(out)
+    return folders | out
 
 
 def walk(spark: SparkSession, root: str, ignore: list[str] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -40,7 +65,7 @@ def walk(spark: SparkSession, root: str, ignore: list[str] = (), max_bytes: int
     base = root.rstrip("/").removeprefix("file://") + "/"
     rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*" + re.escape(base.lstrip("/")), "")
     found = raw.select(rel.alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_ms"), "content")
-    return found.where(F.col("size_bytes") <= max_bytes).where(~F.col("path").rlike(ignore_pattern([f"{d}/" for d in IGNORED_DIRS] + list(ignore))))
+    return found.where(F.col("size_bytes") <= max_bytes).where(~ignored(F.col("path"), [f"{d}/" for d in IGNORED_DIRS] + list(ignore)))
 
 
 def is_binary(content: Column) -> Column:
@@ -65,8 +90,11 @@ def notes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def agent_memories(spark: SparkSession, root: str) -> DataFrame:
-    """Notes that lie directly in `root`, without indexes and examples (SRC-6)."""
-    return notes(spark, root).where(~F.col("path").contains("/") & ~F.lower("path").rlike(r"^(memory|readme)\.md$|_example\.md$"))
+    """Notes that lie directly in `root`, without indexes and examples, with their title and type (SRC-6, FN-6)."""
+    raw = walk(spark, root).where(F.col("path").rlike(r"(?i)\.md$") & ~F.col("path").rlike(r"^\."))
+    text = F.decode("content", "UTF-8")
+    found = raw.select("path", n.memory_title(text, F.col("path")).alias("title"), n.memory_type(text, F.col("path")).alias("type"), t.strip_frontmatter(text).alias("body"))
+    return found.where(~F.col("path").contains("/") & ~F.lower("path").rlike(r"^(memory|readme)\.md$|_example\.md$"))
 
 
 def changed(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -76,4 +104,5 @@ def changed(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def vanished(found: DataFrame, known: DataFrame) -> DataFrame:
     """Known files that were not found any more (JN-16)."""
-    return known.join(found.select("path"), "path", "left_anti")
+    seen = found.select(F.col("path").alias("_seen"))  # the two may come from one table
+    return known.join(seen, F.col("path") == F.col("_seen"), "left_anti")
