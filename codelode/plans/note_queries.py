@@ -49,7 +49,7 @@ lambda l: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 @query(
     "fn12_quotes", "m",
     ", p as (select id, " + PROSE.replace("{x}", "body") + r""" as prose from m), q as (select id, prose, left(prose, 278) as head, trim(regexp_extract(left(prose, 278), '^(.*[.!?…])(\s|$)', 1)) as sentence from p)
-select id, case when length(prose) <= 279 then prose when length(sentence) >= 278 / 3 then sentence when instr(head, ' ') > 0 and length(head) - instr(reverse(head), ' ') > 139 then rtrim(left(head, length(head) - instr(reverse(head), ' '))) else rtrim(head) end as quote from q""",
+select id, case when length(prose) <= 279 then prose when length(sentence) >= 278 / 3 then sentence else head end as quote from q""",
 )
 def quotes(m):
     """A quotation of each note (FN-12)."""

@@ -198,7 +198,8 @@ def test_titles_and_sentences(spark):
     assert one(spark, n.memory_type(F.col("a"), F.col("p")), a="# H", p="user_x.md") == "user" and one(spark, n.memory_type(F.col("a"), F.col("p")), a="# H", p="other.md") == ""
     assert one(spark, n.prose_of(F.col("a")), a="# T\n\n- **one** thing\n| a | b |\n> 10. quoted _x_\n```\n") == "one thing quoted _x"
     assert one(spark, n.first_sentence(F.col("a")), a="First  one.\nSecond.") == "First one."
-    assert one(spark, n.quote_from(F.col("a")), a="word " * 100).endswith("word") and len(one(spark, n.quote_from(F.col("a")), a="x" * 500)) == 278
+    assert one(spark, n.cut_to_word(F.col("a"), 12), a="word word word") == "word word" and one(spark, n.cut_to_word(F.col("a"), 12), a="x" * 20) == "x" * 12
+    assert len(one(spark, n.quote_from(F.col("a")), a="word " * 100)) == 278 and one(spark, n.quote_from(F.col("a")), a="A " * 60 + "end. " + "b " * 200).endswith("end.")
     assert one(spark, n.card_role(F.col("a")), a="a/user.resolver.ts") == "resolver" and one(spark, n.wiki_role(F.col("a")), a="a/b.tsx") == "UI component" and one(spark, n.wiki_role(F.col("a")), a="src/main.py") == "entry point"
     assert [tokens.count("", "gpt"), tokens.count(None), tokens.count("hello world", "gpt")] == [0, 0, 2] and tokens.count("hello world") == 3
     assert [one(spark, n.tokenizer_family(F.col("a")), a=x) for x in ("gpt-4o", "some-sonnet", "llama", None)] == ["gpt", "claude", "generic", "generic"]
