@@ -128,7 +128,7 @@ def changed_files(files):
 def vanished_files(f, blobs):
     """Known files of which no text was found: a set difference (SET-3, JN-16)."""
     found = f.join(blobs.where("content is not null").select(F.col("file_id").alias("id")), "id", "left_semi")
-    return walk.vanished(f, found).select("id", "path")
+    return walk.vanished(found, f).select("id", "path")
 
 
 @query("snk3_upsert_vectors", "symbol_vectors", "with v as (select distinct * from symbol_vectors), o as (select * from v qualify row_number() over (partition by symbol_id, model_id order by updated_at, source_hash) = 1), n as (select * from v qualify row_number() over (partition by symbol_id, model_id order by updated_at desc, source_hash desc) = 1) select symbol_id, model_id, n.source_hash, n.updated_at, o.updated_at as first from n join o using (symbol_id, model_id)")

@@ -99,7 +99,8 @@ def agent_memories(spark: SparkSession, root: str) -> DataFrame:
 
 def changed(found: DataFrame, known: DataFrame) -> DataFrame:
     """Files that are new or whose hash differs (FLT-10)."""
-    return found.join(known.select("path", F.col("hash").alias("old")), "path", "left").where("old is null or old != hash").drop("old")
+    old = known.select(F.col("path").alias("_path"), F.col("hash").alias("_old"))
+    return found.join(old, F.col("path") == F.col("_path"), "left").where("_old is null or _old != hash").drop("_path", "_old")
 
 
 def vanished(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -211,5 +211,5 @@ def test_latin_marks_are_folded(spark):
 
 def test_vanished_and_changed_files_of_one_table(spark):
     known = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, hash string")
-    assert [r.path for r in walk.vanished(known, known.where("path != 'b'")).collect()] == ["b"]
+    assert [r.path for r in walk.vanished(known.where("path != 'b'"), known).collect()] == ["b"]
     assert [r.path for r in walk.changed(known.withColumn("hash", F.when(F.col("path") == "c", "9").otherwise(F.col("hash"))), known).collect()] == ["c"]
