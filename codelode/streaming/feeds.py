@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +14,48 @@ def versions(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
+#: Parts of an indexed table, by the hash of the path; a batch rewrites those that it touches.
+PARTS = 32
+
+
+def _log(spark: SparkSession, table: str) -> dict[int, int]:
+    """The newest version of each part (PARTS at most), by the table's own log."""
+    try:
+        log = spark.read.parquet(f"{table}/log")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}
+    return {r.part: r.v for r in log.groupBy("part").agg(F.max("v").alias("v")).collect()}
+
+
+def current(spark: SparkSession, table: str, parts: list[int] | None = None) -> DataFrame | None:
+    """The rows of an indexed table as they stand (of some parts, if given), or None before the first batch."""
+    paths = [f"{table}/data/v={v}/part={p}" for p, v in _log(spark, table).items() if parts is None or p in parts]
+    return spark.read.option("basePath", f"{table}/data").parquet(*paths).drop("v") if paths else None
+
+
 def index_incrementally(stream: DataFrame, table: str, checkpoint: str):
-    """Keeps `table` (a folder of dated versions) at the newest row of each path.
+    """Keeps `table` at the newest row of each path.
 
-    Each micro-batch is reduced to one row per path, joined with the current version and written as
-    a new version folder, so that a batch that is run again after a failure gives the same table."""
+    A batch is reduced to one row per path, merged with the parts of the table that it touches, written as a new
+    version of those parts, and becomes visible by one entry in the table's log. The log, not the stream,
+    counts the versions: a stream with a new checkpoint goes on where the table is, and a batch that is run
+    again after a failure merges to the same rows."""
     spark = stream.sparkSession
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        fresh = newest(batch, ["path"], ["updated_at", "hash"])
-        try:
-            old = spark.read.parquet(f"{table}/v={epoch - 1}")
-            fresh = newest(old.unionByName(fresh.select(*old.columns)), ["path"], ["updated_at", "hash"])
-        except Exception as e:  # the first version has none before it
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{table}/v={epoch}")
+        part = F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int")
+        fresh = newest(batch, ["path"], ["updated_at", "hash"]).withColumn("part", part)
+        touched = [r.part for r in fresh.select("part").distinct().collect()]
+        if not touched:
+            return
+        old = current(spark, table, touched)
+        if old is not None:
+            fresh = newest(old.unionByName(fresh), ["path"], ["updated_at", "hash"])
+        version = max(_log(spark, table).values(), default=-1) + 1
+        fresh.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{table}/data/v={version}")
+        spark.createDataFrame([(p,) for p in touched], "part int").coalesce(1).write.mode("overwrite").parquet(f"{table}/log/v={version}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

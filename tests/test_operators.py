@@ -142,15 +142,26 @@ def test_pack_and_gate(spark, tmp_path):
 
 def test_incremental_index_equals_full(spark, tmp_path):
     files = spark.read.parquet(f"{DATA}/files.parquet")
-    src = str(tmp_path / "in")
-    for k in range(2):
-        files.where(f"id % 2 = {k}").coalesce(1).write.mode("append").parquet(src)
-        feeds.index_incrementally(feeds.versions(spark, src, files.schema), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    last = sorted(int(p.name[2:]) for p in (tmp_path / "t").iterdir())[-1]
-    got = {(r.path, r.hash) for r in spark.read.parquet(f"{tmp_path}/t/v={last}").collect()}
+    src, table = str(tmp_path / "in"), str(tmp_path / "t")
+    assert feeds.current(spark, table) is None
+    for k in range(3):
+        files.where(f"id % 3 = {k}").coalesce(1).write.mode("append").parquet(src)
+        # the last batch comes by a stream with a new checkpoint, which reads all versions again
+        feeds.index_incrementally(feeds.versions(spark, src, files.schema), table, str(tmp_path / f"c{k // 2}")).awaitTermination()
+    got = {(r.path, r.hash) for r in feeds.current(spark, table).collect()}
     assert got == {(r.path, r.hash) for r in v.newest(files, ["path"], ["updated_at", "hash"]).collect()}
 
 
+def test_a_new_stream_keeps_the_table_and_untouched_parts(spark, tmp_path):
+    schema, table = "path string, hash string, updated_at long", str(tmp_path / "t")
+    for k, rows in enumerate([[("a", "1", 1), ("b", "1", 1)], [("c", "1", 2)], [("a", "2", 3), ("a", "0", 0)]]):
+        src = str(tmp_path / f"in{k}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
+        feeds.index_incrementally(feeds.versions(spark, src, schema), table, str(tmp_path / f"c{k}")).awaitTermination()
+    assert {(r.path, r.hash) for r in feeds.current(spark, table).collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
+    assert len({p.name for p in (tmp_path / "t" / "data" / "v=2").iterdir() if p.name.startswith("part=")}) == 1
+
+
 def test_stream_windows(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     events.write.parquet(str(tmp_path / "e"))
