@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelode.operators import extract, maintain, rank, search
+from codelode.operators import capsule, extract, rank, search
 from codelode.operators import graph as g
 from codelode.operators import views as v
+from codelode.session import cut
 
 #: Types of notes that may be written.
 NOTE_TYPES = ("architecture_decision", "bug_resolution", "project_convention", "known_issue", "failed_attempt", "agent_note")
@@ -69,17 +70,27 @@ class CodeGraph:
         d = g.degrees(self.edges, self.symbols, self.files)
         return d.groupBy(g.module_of(F.col("path")).alias("module")).agg(F.count("*").alias("files"), F.sum("symbols").alias("symbols"), F.sum("importers").alias("importers")).orderBy(F.desc("symbols"), "module")
 
-    def context_capsule(self, task: str, token_budget: int = 8000) -> DataFrame:
-        """Ranked files packed into the budget, sizes in words of their signatures and docstrings."""
+    def context_capsule(self, task: str, token_budget: int = 8000, blobs: DataFrame | None = None, family: str = "generic") -> dict[str, DataFrame]:
+        """Files, tests and notes for a task, packed into the budget of tokens; blobs (file_id, content) has the texts."""
         ranked = rank.rank_for_task(task, self.files, self.symbols, self.edges, self.memories, limit=80)
-        best = ranked.groupBy("path").agg(F.max("score").alias("score")).join(self.files.select("path", F.col("id").alias("file_id")), "path")
-        words = lambda c: F.size(F.split(F.coalesce(c, F.lit("")), r"\s+"))
-        s = self.symbols.join(best, "file_id", "left_semi").groupBy("file_id").agg(F.sum(words(F.col("signature")) + words(F.col("docstring"))).alias("skeleton"), F.sum(words(F.col("signature"))).alias("signature"))
-        items = best.join(s, "file_id", "left").join(self.files.select(F.col("id").alias("file_id"), "lines_count"), "file_id")
-        z = lambda c, n: F.coalesce(c, F.lit(0)).alias(n)
-        code = int(token_budget * 0.7)
-        packed = maintain.pack_budget(items.select(F.lit(0).alias("grp"), (-F.col("score")).alias("place"), F.col("file_id").alias("item"), z(F.col("lines_count") * 8, "full"), z("skeleton", "skeleton"), z("signature", "signature")), code, max(600, code // 2))
-        return packed.join(self.files.select(F.col("id").alias("item"), "path"), "item").select("pos", "path", "depth", "tokens").orderBy("pos")
+        # eighty rows at most
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "start_line", "id")
+        ranked = ranked.select(F.lit(0).cast("long").alias("query_id"), F.col("symbol_id").alias("id"), "path", "start_line", "score").withColumn("place", F.row_number().over(w)).select("query_id", "id", "place", "score")
+        texts = blobs if blobs is not None else self.spark.createDataFrame([], "file_id long, content string")
+        return capsule.capsules(self.spark.createDataFrame([(0, task)], "query_id long, task string"), cut(ranked), self.files, texts, self.symbols, self.edges, self.memories, token_budget, family)
+
+    @staticmethod
+    def log_capsule(logs: DataFrame, task: str, capsule_tokens: int, naive_estimate: int, tokenizer: str, model: str | None = None) -> DataFrame:
+        """The log of capsules with one more (SNK-10)."""
+        new = logs.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
+        row = new.select("id", F.lit(task).alias("task"), F.lit(capsule_tokens).cast("long").alias("capsule_tokens"), F.lit(naive_estimate).cast("long").alias("naive_estimate"), F.lit(tokenizer).alias("tokenizer_used"), F.lit(model).cast("string").alias("model"), F.unix_millis(F.current_timestamp()).alias("created_at"))
+        return logs.unionByName(row, allowMissingColumns=True)
+
+    @staticmethod
+    def token_stats(logs: DataFrame) -> DataFrame:
+        """Capsules, their tokens, the naive cost, and what was saved of the totals, never less than 0 (AGG-1, NRM-10)."""
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        return logs.agg(F.count("*").alias("capsules"), total("capsule_tokens").alias("capsule_tokens"), total("naive_estimate").alias("naive_estimate"), F.greatest(total("naive_estimate") - total("capsule_tokens"), F.lit(0)).alias("saved"))
 
     def team_memory(self, query: str, limit: int = 10) -> DataFrame:
         q = self.spark.createDataFrame([(0, query)], "query_id long, q string").select("query_id", F.explode(search.tokens(F.col("q"))).alias("term"))
