@@ -319,13 +319,14 @@ def first_members(members: DataFrame, k: int) -> DataFrame:
     return members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
-def expand(edges: DataFrame, members: DataFrame, k: int) -> DataFrame:
+def expand(edges: DataFrame, members: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
     """(space, a, b, sim, direct): edges between representatives to edges between vectors. Each side of an edge
     stands for its class, of which the k + 1 smallest ids are enough as neighbours; within a class
-    likewise. direct: both ends are the representatives that were compared."""
+    likewise. direct: both ends are the representatives that were compared. Neighbours are given for the members
+    `asked` only, if that is given."""
     first = cut(first_members(members, k + 1))
     near = first.select("space", F.col("rep").alias("b"), F.col("id").alias("b2"))
-    far = members.select("space", F.col("rep").alias("a"), F.col("id").alias("a2"))
+    far = (members if asked is None else asked).select("space", F.col("rep").alias("a"), F.col("id").alias("a2"))
     own = far.join(near.withColumnRenamed("b", "a"), ["space", "a"]).select("space", F.col("a2").alias("a"), F.col("b2").alias("b"), F.lit(1.0).alias("sim"), F.lit(False).alias("direct"))
     direct = (F.coalesce("a2", "a") == F.col("a")) & (F.coalesce("b2", "b") == F.col("b"))
     out = edges.join(near, ["space", "b"], "left").join(far, ["space", "a"], "left").select("space", F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "sim", direct.alias("direct"))
@@ -373,9 +374,14 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float | None = None, ro
     of a cosine of at_least only, if that is given."""
     least = LEAST if at_least is None else at_least - 1e-4
     edges, _, _, members = graph_of(vectors, least, rounds)
+    return ranked(expand(edges, members, k), vectors, k, at_least)
+
+
+def ranked(pairs: DataFrame, vectors: DataFrame, k: int, at_least: float | None = None) -> DataFrame:
+    """(model_id, a, b, cosine, place): the k best expanded pairs of every a, those not compared yet on the whole vectors."""
     # the few spaces there are: one for each model and dimension
     spaces = vectors.where("model_id is not null and dim is not null").select(F.xxhash64("model_id", F.col("dim").cast("int")).alias("space"), "model_id").distinct()
-    pairs = cut(expand(edges, members, k))
+    pairs = cut(pairs)
     found = pairs.where("direct").select("space", "a", "b", "sim").unionByName(exact(pairs.where("not direct"), vectors))
     if at_least is not None:
         found = found.where(F.col("sim") >= at_least)
@@ -392,8 +398,8 @@ def similar_pairs(vectors: DataFrame, k: int = 5, at_least: float = 0.9) -> Data
 
 # --- search ------------------------------------------------------------------------------------
 
-#: Vectors kept in mind for each query, of which so many are left at once for their neighbours, and the most steps.
-BEAM, LEAVES, STEPS = 24, 3, 12
+#: Vectors kept in mind for each query, of which so many are left at once for their neighbours.
+BEAM, LEAVES = 24, 3
 
 
 def _near_query(batches):
@@ -406,7 +412,7 @@ def search(queries: DataFrame, edges: DataFrame, whole: DataFrame, entries: Data
 
     Every walk starts at the entries (space, query, node) of its query. In each step the best LEAVES
     vectors not yet left are left for their neighbours in the graph, both directions; the BEAM best seen are
-    kept; a walk ends when all of them have been left."""
+    kept; a walk ends when all of them have been left. It does end: what falls behind the BEAM best stays behind."""
     back = Window.partitionBy("space", "b").orderBy(F.desc("sim"), "a")
     turned = edges.withColumn("rn", F.row_number().over(back)).where(F.col("rn") <= DEGREE).select("space", F.col("b").alias("node"), F.col("a").alias("next"))
     ways = cut(edges.select("space", F.col("a").alias("node"), F.col("b").alias("next")).unionByName(turned).distinct())
@@ -419,7 +425,7 @@ def search(queries: DataFrame, edges: DataFrame, whole: DataFrame, entries: Data
     best = Window.partitionBy("space", "query").orderBy(F.desc("sim"), "node")
     turn = Window.partitionBy("space", "query").orderBy("left", F.desc("sim"), "node")
     seen = cut(measured(entries.select("space", "query", "node").distinct()).withColumn("left", F.lit(False)))
-    for _ in range(STEPS):
+    while True:
         kept = seen.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= BEAM).withColumn("turn", F.row_number().over(turn))
         going = kept.where(~F.col("left") & (F.col("turn") <= LEAVES))
         met = going.select("space", "query", "node").join(ways, ["space", "node"]).select("space", "query", F.col("next").alias("node")).distinct()
@@ -432,17 +438,18 @@ def search(queries: DataFrame, edges: DataFrame, whole: DataFrame, entries: Data
 
 
 def searched(vectors: DataFrame, asked: str, k: int = 5) -> DataFrame:
-    """(model_id, symbol_id, neighbour_id, cosine): the k most similar representatives of other direction for
-    every representative that the condition `asked` on id chooses, by greedy search of the finished graph. A
-    walk starts at the candidates of a single sorting, as that of a new vector does."""
-    edges, whole, nodes, _ = graph_of(vectors)
-    queries = whole.where(asked).select("space", F.col("id").alias("query"), "q")
+    """(model_id, symbol_id, neighbour_id, cosine): the k most similar others of every usable vector that the
+    condition `asked` on id chooses, by greedy search of the finished graph. Vectors of one direction walk once,
+    and stand beside each other in the result. A walk starts at the candidates of a single sorting, as that of a
+    new vector does."""
+    edges, whole, nodes, members = graph_of(vectors)
+    own = members.where(asked)
+    chosen = whole.where(asked).select("space", "id").unionByName(own.select("space", F.col("rep").alias("id"))).distinct()
+    queries = whole.join(chosen, ["space", "id"], "left_semi").select("space", F.col("id").alias("query"), "q")
     start = first_graph(nodes, sortings=1).join(queries.select("space", F.col("query").alias("a")), ["space", "a"], "left_semi")
     found = search(queries, edges, whole, start.select("space", F.col("a").alias("query"), F.col("b").alias("node")), k + 1)
-    w = Window.partitionBy("space", "query").orderBy(F.desc(F.round("sim", 9)), "node")
-    best = found.where("query != node").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    spaces = vectors.where("model_id is not null and dim is not null").select(F.xxhash64("model_id", F.col("dim").cast("int")).alias("space"), "model_id").distinct()
-    return best.join(bounded(spaces), "space").select("model_id", F.col("query").alias("symbol_id"), F.col("node").alias("neighbour_id"), F.col("sim").alias("cosine"), "place")
+    pairs = found.where("query != node").select("space", F.col("query").alias("a"), F.col("node").alias("b"), "sim")
+    return ranked(expand(pairs, members, k, own), vectors, k).withColumnsRenamed({"a": "symbol_id", "b": "neighbour_id"})
 
 
 def exact_neighbours(vectors: DataFrame, asked: str, k: int = 5) -> DataFrame:

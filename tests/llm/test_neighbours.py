@@ -118,3 +118,16 @@ def test_a_threshold_loses_no_close_pair_of_a_dense_group(spark):
     got = {tuple(r) for r in n.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = brute([r[:5] for r in rows])
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_search_gives_vectors_of_one_direction_too(spark):
+    x = np.random.default_rng(13).standard_normal((200, 16)).astype(np.float32)
+    x[40], x[61], x[100] = 2 * x[19], 4 * x[19], x[60]  # asked for, but not the smallest id; and both asked for
+    x[120:140] = x[7]  # a class larger than what is asked for
+    v = spark.createDataFrame(_rows(x), SCHEMA)
+    want = {(r.symbol_id, r.neighbour_id) for r in n.exact_neighbours(v, "symbol_id % 20 = 0").collect()}
+    got = {(r.symbol_id, r.neighbour_id) for r in n.searched(v, "id % 20 = 0").collect()}
+    assert {(40, 19), (40, 61), (60, 100), (100, 60), (120, 7), (120, 121)} <= got
+    assert len(got) == len(want) == 50 and len(got & want) >= 0.9 * len(want)
+    copies = spark.createDataFrame(_rows(np.ones((3, 16))), SCHEMA)  # one direction only: no walk at all
+    assert {(r.symbol_id, r.neighbour_id) for r in n.searched(copies, "id = 1").collect()} == {(1, 0), (1, 2)}
